@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions.text import is_blank, stable_id, strip
 from gradus.operators.ordered import bucket_of, carry_last, running_sum
+from gradus.session import stacked
 
 CATALOG_SCHEMA = (
     "id string, document_group_id string, file_name string, version int, file_hash string, "
@@ -138,7 +139,7 @@ def swap(catalog: DataFrame, pending: DataFrame, chunk_counts: DataFrame) -> Dat
             F.max_by("updated_at", "_ready").alias("_swapped_at"),
         )
     )
-    rows = catalog.withColumn("_ready", F.lit(None).cast("int")).unionByName(done)
+    rows = stacked(catalog.withColumn("_ready", F.lit(None).cast("int")), done)
     is_current = F.when(F.col("_winner").isNull(), F.col("is_current")).otherwise(
         F.col("version") == F.col("_winner")
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions import irt
 from gradus.operators.blocks import attach_dimension
+from gradus.session import stacked
 
 SUBMISSION = ["student_id", "submission_id"]
 DEFAULT_MODEL = irt.ItemModel()
@@ -190,8 +191,9 @@ def skill_priors(
     skills: DataFrame,
     model: irt.ItemModel = DEFAULT_MODEL,
 ) -> DataFrame:
-    return measured_priors(skill_counts, domains, model).unionByName(
-        inferred_priors(skill_counts, domains, skills)
+    return stacked(
+        measured_priors(skill_counts, domains, model),
+        inferred_priors(skill_counts, domains, skills),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.operators import catalog as catalog_ops
+from gradus.operators import novelty as novelty_ops
 from gradus.sources.tables import table
 
 
@@ -278,3 +279,222 @@ BOOK_PAGES = f"""book_pages AS (
   SELECT source AS source_id, CAST(doc_id // 20 + 1 AS INTEGER) AS page_number, doc_id AS chunk_index,
          {BOOK_TEXT.format(page='(doc_id // 20 + 1)')} AS text, text AS plain_text
   FROM documents)"""
+
+
+def exemplars(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark item is an exemplar of all five facets of a label."""
+    facets = F.explode(F.array(*[F.lit(i) for i in range(5)]))
+    return table(spark, d, "benchmark").withColumn("facet", facets).select(
+        F.format_string("A%03d", F.col("item_id") % 10 * 10 + F.col("facet")).alias("archetype_id"),
+        (F.col("item_id") * 10 + F.col("facet")).alias("exemplar_id"),
+        F.col("text").alias("question_latex"),
+        F.concat(F.lit("Solution "), "item_id").alias("golden_solution"),
+        F.substring(F.lit("ABCD"), (F.col("item_id") % 4 + 1).cast("int"), F.lit(1)).alias("correct_option"),
+        F.array(F.lit("read"), F.lit("solve")).alias("explanation_steps"),
+        F.col("item_id").alias("created_at"),
+    )
+
+
+EXEMPLARS = """exemplars AS (
+  SELECT printf('A%03d', item_id % 10 * 10 + facet) AS archetype_id, item_id * 10 + facet AS exemplar_id,
+         text AS question_latex, item_id AS created_at
+  FROM benchmark, range(5) f(facet))"""
+
+
+def traps(spark: SparkSession, d: str) -> DataFrame:
+    """Each part is a trap of an archetype."""
+    return table(spark, d, "part").select(
+        F.format_string(
+            "A%03d", F.col("p_partkey") % 10 * 10 + F.floor(F.col("p_partkey") / 10) % 5
+        ).alias("archetype_id"),
+        F.concat(F.lit("T"), "p_partkey").alias("trap_id"),
+        F.concat(F.lit("T"), "p_partkey").alias("trap_code"),
+        F.col("p_name").alias("trap_name"),
+        F.when(
+            F.col("p_size") % 5 > 0, F.substring(F.lit("ABCD"), F.col("p_size") % 5, F.lit(1))
+        ).alias("wrong_option"),
+        F.col("p_type").alias("misconception_explanation"),
+        F.col("p_brand").alias("socratic_hint"),
+    )
+
+
+TRAPS = """traps AS (
+  SELECT printf('A%03d', p_partkey % 10 * 10 + p_partkey // 10 % 5) AS archetype_id,
+         'T' || p_partkey AS trap_id, 'T' || p_partkey AS trap_code, p_name AS trap_name,
+         CASE WHEN p_size % 5 > 0 THEN substr('ABCD', p_size % 5, 1) END AS wrong_option,
+         p_type AS misconception_explanation, p_brand AS socratic_hint
+  FROM part)"""
+
+
+def _skill_key(number: Column) -> Column:
+    return F.md5(F.concat(F.lit("skill"), number.cast("string")))
+
+
+def asks(spark: SparkSession, d: str) -> DataFrame:
+    """Each embedding is a question asked of the tutor; every ninth has a malformed id."""
+    v = F.col("vec_id")
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    return (
+        table(spark, d, "embeddings")
+        .withColumn("item_id", F.col("label") + v % 4 * 10)
+        .join(items, "item_id")
+        .select(
+            F.when(v % 9 == 0, F.concat(F.lit("q-"), v))
+            .otherwise(F.md5(F.concat(F.lit("q"), v)))
+            .alias("question_id"),
+            _skill_key((F.col("label") + v) % 12).alias("skill_id"),
+            "text",
+            F.when(v % 7 > 0, F.substring(F.lit("abcd"), (v % 4 + 1).cast("int"), F.lit(1))).alias(
+                "selected_option"
+            ),
+            F.substring(F.lit("ABCD"), (F.floor(v / 4) % 4 + 1).cast("int"), F.lit(1)).alias("correct_option"),
+            "embedding",
+        )
+    )
+
+
+ASKS = """asks AS (
+  SELECT CASE WHEN vec_id % 9 = 0 THEN 'q-' || vec_id ELSE md5('q' || vec_id) END AS question_id,
+         md5('skill' || ((label + vec_id) % 12)) AS skill_id, text,
+         CASE WHEN vec_id % 7 > 0 THEN substr('abcd', vec_id % 4 + 1, 1) END AS selected_option,
+         substr('ABCD', vec_id // 4 % 4 + 1, 1) AS correct_option, embedding
+  FROM embeddings JOIN benchmark ON item_id = label + vec_id % 4 * 10)"""
+
+
+def keyed_archetypes(spark: SparkSession, d: str) -> DataFrame:
+    return centroids(spark, d).withColumn("skill_id", _skill_key(F.col("skill_id")))
+
+
+def content_questions(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("vec_id")
+    return table(spark, d, "embeddings").select(
+        F.md5(F.concat(F.lit("q"), v)).alias("question_id"),
+        _skill_key(v % 60).alias("skill_id"),
+        F.when(v % 4 == 1, "  ").when(v % 4 > 1, F.concat(F.lit("Explanation "), v)).alias("explanation"),
+    )
+
+
+CONTENT_QUESTIONS = """content_questions AS (
+  SELECT md5('q' || vec_id) AS question_id, md5('skill' || (vec_id % 60)) AS skill_id,
+         CASE WHEN vec_id % 4 = 1 THEN '  ' WHEN vec_id % 4 > 1 THEN 'Explanation ' || vec_id END AS explanation
+  FROM embeddings)"""
+
+
+def materials(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(
+        F.md5(F.concat(F.lit("m"), s)).alias("material_id"),
+        _skill_key(s * 7 % 90).alias("skill_id"),
+        F.col("s_name").alias("title"),
+        F.when(s % 3 > 0, F.concat(F.lit("Lesson "), s)).alias("content"),
+    )
+
+
+MATERIALS = """materials AS (
+  SELECT md5('m' || s_suppkey) AS material_id, md5('skill' || (s_suppkey * 7 % 90)) AS skill_id,
+         s_name AS title, CASE WHEN s_suppkey % 3 > 0 THEN 'Lesson ' || s_suppkey END AS content
+  FROM supplier)"""
+
+
+def exam_questions(spark: SparkSession, d: str) -> DataFrame:
+    """An order is an exam, its line items are the questions (a number may come up twice)."""
+    lines, parts = table(spark, d, "lineitem"), table(spark, d, "part")
+    p = F.col("l_partkey")
+    return lines.join(parts, p == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("exam_id"),
+        F.col("l_linenumber").alias("question_number"),
+        (p * 10 + F.col("l_linenumber")).alias("arrival"),
+        (F.col("l_linenumber") * 3 - 2).alias("page_number"),
+        F.when(p % 11 == 0, "  ")
+        .otherwise(F.concat_ws(" ", "p_name", F.lit("\n of"), "p_type", F.lit(" hình bên")))
+        .alias("content"),
+        F.create_map(
+            F.lit("B"), F.col("p_brand"),
+            F.lit("A"), F.col("p_type"),
+            F.lit("D"), F.when(p % 3 > 0, F.concat(F.lit(" size\t"), "p_size")).otherwise(" "),
+            F.lit("C"), F.when(p % 5 > 0, F.col("p_size").cast("string")),
+        ).alias("options"),
+        F.element_at(
+            F.array(*[F.lit(x) for x in ("a", " (B) ", "2", "3", "Answer: C", "ZZ", "", "[d].", "Bx")]),
+            (p % 9 + 1).cast("int"),
+        ).alias("correct_option"),
+        F.when(p % 4 == 0, F.concat(F.lit("because "), "p_name")).alias("explanation"),
+        (p % 9 - 1).cast("int").alias("difficulty_level"),
+        F.when(p % 6 == 0, F.concat(F.lit("/img/"), p)).alias("image_url"),
+    )
+
+
+EXAM_QUESTIONS = """exam_questions AS (
+  SELECT l_orderkey AS exam_id, l_linenumber AS question_number, l_partkey * 10 + l_linenumber AS arrival,
+         l_linenumber * 3 - 2 AS page_number,
+         CASE WHEN l_partkey % 11 = 0 THEN '  '
+              ELSE p_name || ' ' || chr(10) || ' of ' || p_type || '  hình bên' END AS content,
+         p_type AS oa, p_brand AS ob, CASE WHEN l_partkey % 5 > 0 THEN CAST(p_size AS VARCHAR) END AS oc,
+         CASE WHEN l_partkey % 3 > 0 THEN ' size' || chr(9) || p_size ELSE ' ' END AS od,
+         ['a', ' (B) ', '2', '3', 'Answer: C', 'ZZ', '', '[d].', 'Bx'][l_partkey % 9 + 1] AS correct_option,
+         CASE WHEN l_partkey % 4 = 0 THEN 'because ' || p_name END AS explanation,
+         CAST(l_partkey % 9 - 1 AS INTEGER) AS difficulty_level,
+         CASE WHEN l_partkey % 6 = 0 THEN '/img/' || l_partkey END AS image_url
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def novelty_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Each embedding is a parsed question, with the text of a benchmark item."""
+    v = F.col("vec_id")
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("content"))
+    return (
+        table(spark, d, "embeddings")
+        .withColumn("item_id", F.col("label") + v % 4 * 10)
+        .join(items, "item_id")
+        .select(
+            v.alias("question_id"),
+            F.concat(F.lit("exam-"), v % 8).alias("source_exam"),
+            "content",
+            F.create_map(F.lit("B"), F.lit(" two "), F.lit("A"), F.concat(F.lit("one "), v % 3)).alias("options"),
+            (v % 40 + 1).cast("int").alias("question_number"),
+            F.when(v % 2 == 0, "A").alias("correct_option"),
+            F.when(v % 5 == 0, F.concat(F.lit("/img/"), v)).alias("image_url"),
+            _at(v).alias("created_at"),
+            "embedding",
+        )
+    )
+
+
+NOVELTY_QUESTIONS = """novelty_questions AS (
+  SELECT vec_id AS question_id, 'exam-' || (vec_id % 8) AS source_exam,
+         trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' A. one ' || (vec_id % 3) || ' B. two' AS question_text,
+         CAST(vec_id % 40 + 1 AS INTEGER) AS question_number,
+         CASE WHEN vec_id % 2 = 0 THEN 'A' END AS correct_option,
+         CASE WHEN vec_id % 5 = 0 THEN '/img/' || vec_id END AS image_url,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(vec_id) AS created_at, embedding
+  FROM embeddings JOIN benchmark ON item_id = label + vec_id % 4 * 10)"""
+
+
+def pending_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark item was proposed before, a third of them already decided."""
+    i = F.col("item_id")
+    text = novelty_ops.question_text(
+        F.col("text"), F.create_map(F.lit("B"), F.lit("two"), F.lit("A"), F.lit("one 0"))
+    )
+    return table(spark, d, "benchmark").select(
+        F.concat(F.lit("old-"), i).alias("id"),
+        F.lit("earlier").alias("source_exam_name"),
+        text.alias("raw_question_latex"),
+        F.array().cast("array<string>").alias("image_urls"),
+        F.lit("{}").alias("extracted_metadata"),
+        F.when(i % 7 > 0, i / 100).alias("max_similarity_score"),
+        F.format_string("A%03d", i % 50).alias("nearest_archetype_id"),
+        F.when(i % 3 == 0, "APPROVED").otherwise("PENDING_REVIEW").alias("status"),
+        F.lit(None).cast("string").alias("academic_feedback"),
+        _at(i).alias("created_at"),
+    )
+
+
+PENDING_PROPOSALS = """proposals AS (
+  SELECT 'old-' || item_id AS id, trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' A. one 0 B. two' AS raw_question_latex,
+         CASE WHEN item_id % 7 > 0 THEN item_id / 100 END AS max_similarity_score,
+         printf('A%03d', item_id % 50) AS nearest_archetype_id,
+         CASE WHEN item_id % 3 = 0 THEN 'APPROVED' ELSE 'PENDING_REVIEW' END AS status,
+         CAST(NULL AS VARCHAR) AS academic_feedback,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(item_id) AS created_at
+  FROM benchmark)"""

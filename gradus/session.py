@@ -18,6 +18,7 @@ def local_session(app: str = "gradus", cpus: int | str = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("GRADUS_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -36,3 +37,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
+
+
+def stacked(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Union by name, always.
+
+    Spark 4.1 may take a union for hash-partitioned when its inputs are, although adaptive
+    execution coalesced their partitions differently; grouping the union by that key then leaves a
+    key in several groups. The setting turns that shortcut off for the session.
+    """
+    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for other in others:
+        first = first.unionByName(other)
+    return first
