@@ -498,3 +498,117 @@ PENDING_PROPOSALS = """proposals AS (
          CAST(NULL AS VARCHAR) AS academic_feedback,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(item_id) AS created_at
   FROM benchmark)"""
+
+
+# Text of one exam question, shared by both engines: {n} its number, {p} its part key.
+EXAM_BLOCK = """concat(
+  CASE WHEN {p} % 7 = 0 THEN concat('--- PAGE_', CAST({n} * 2 AS VARCHAR(9)), ' ---', chr(10)) ELSE '' END,
+  CASE {p} % 10
+    WHEN 5 THEN concat('Dựa vào thông tin sau, trả lời câu hỏi từ ', CAST({n} AS VARCHAR(9)), ' đến ', CAST({n} + 1 AS VARCHAR(9)), ':', chr(10), 'Đoạn văn ', p_name, chr(10), 'và hết.', chr(10))
+    WHEN 6 THEN concat('Questions ', CAST({n} AS VARCHAR(9)), '-', CAST({n} + 2 AS VARCHAR(9)), chr(10), 'English passage ', p_type, chr(10))
+    WHEN 7 THEN concat('Đọc đoạn trích và trả lời câu hỏi từ 9 đến 2', chr(10), 'bad', chr(10))
+    ELSE '' END,
+  CASE {p} % 6
+    WHEN 0 THEN concat('Câu ', CAST({n} AS VARCHAR(9)), ': ', p_name, ' nào đúng?', chr(10), 'A. ', p_brand, chr(10), 'B. ', p_type, chr(10), 'C. ', CAST(p_size AS VARCHAR(9)), chr(10), 'D. none')
+    WHEN 1 THEN concat('Question ', CAST({n} AS VARCHAR(9)), '. ', p_name, ' is A. ', p_brand, ' B. ', p_type, ' C) x')
+    WHEN 2 THEN concat(CAST({n} AS VARCHAR(9)), '. ', p_name, ' bare', chr(10), 'A. ', p_brand, chr(10), 'B. ', p_type, '  twice')
+    WHEN 3 THEN concat(CAST({n} AS VARCHAR(9)), '. ', p_name, ' listed only')
+    WHEN 4 THEN concat('CÂU ', CAST({n} AS VARCHAR(9)), '. ', p_name, ' error A B C D')
+    ELSE concat('Câu ', CAST({n} AS VARCHAR(9)), ':') END)"""
+
+
+def exam_texts(spark: SparkSession, d: str) -> DataFrame:
+    """An order is an exam; its line items, written out one below the other, are its text."""
+    lines, parts = table(spark, d, "lineitem"), table(spark, d, "part")
+    block = F.expr(EXAM_BLOCK.format(n="l_linenumber", p="l_partkey"))
+    parts_of = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+        F.col("l_orderkey").alias("exam_id")
+    )
+    ordered = F.sort_array(
+        F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", block.alias("block")))
+    )
+    return parts_of.agg(F.transform(ordered, lambda b: b["block"]).alias("_b")).select(
+        "exam_id",
+        F.concat(F.lit("Đề thi\n"), F.array_join("_b", "\n"), F.lit("\n--- HẾT ---\nThe end.")).alias("text"),
+        F.lit(3).alias("total_pages"),
+    )
+
+
+EXAM_TEXTS = f"""exam_texts AS (
+  SELECT l_orderkey AS exam_id, 'Đề thi' || chr(10) || string_agg({EXAM_BLOCK.format(n='l_linenumber', p='l_partkey')},
+           chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) || chr(10) || '--- HẾT ---' || chr(10) || 'The end.' AS text,
+         3 AS total_pages
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"""
+
+
+def passage_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Each line item is the part of a passage over two numbers."""
+    return exam_questions(spark, d).select(
+        "exam_id",
+        (F.col("question_number") - F.col("question_number") % 2).alias("start_question"),
+        (F.col("question_number") - F.col("question_number") % 2 + 1).alias("end_question"),
+        "arrival",
+        F.when(F.col("arrival") % 4 == 0, F.upper(F.element_at(F.split("content", " "), 1)))
+        .otherwise(F.col("content"))
+        .alias("content"),
+        "image_url",
+    )
+
+
+PASSAGE_PARTS = """passage_parts AS (
+  SELECT exam_id, question_number - question_number % 2 AS start_question,
+         question_number - question_number % 2 + 1 AS end_question, arrival,
+         CASE WHEN arrival % 4 = 0 THEN upper(split_part(content, ' ', 1)) ELSE content END AS content,
+         image_url
+  FROM exam_questions)"""
+
+
+def taxonomy_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Part names are patterns, placed under lessons and chapters of two made-up domains."""
+    p = F.col("first")
+    return table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("first"), F.min_by("p_type", "p_partkey").alias("p_type")).select(
+        p.alias("ord"),
+        F.concat(F.lit("S"), p % 9).alias("skill_id"),
+        F.when(p % 4 == 0, "Tiếng Anh").when(p % 4 == 1, "Toán học").otherwise("Khoa học").alias("domain_name"),
+        F.element_at(
+            F.array(F.lit("Chương 1: Vật lí"), F.lit("Chương 2: Hóa học"), F.lit("Chương 3: Đại số")),
+            (p % 3 + 1).cast("int"),
+        ).alias("chapter_name"),
+        F.concat(F.lit("Bài "), p % 5, F.lit(": "), "p_type").alias("lesson_name"),
+        F.col("p_name").alias("pattern_name"),
+    )
+
+
+TAXONOMY_NODES = """nodes AS (
+  SELECT p AS ord, 'S' || (p % 9) AS skill_id,
+         CASE p % 4 WHEN 0 THEN 'Tiếng Anh' WHEN 1 THEN 'Toán học' ELSE 'Khoa học' END AS domain_name,
+         ['Chương 1: Vật lí', 'Chương 2: Hóa học', 'Chương 3: Đại số'][p % 3 + 1] AS chapter_name,
+         'Bài ' || (p % 5) || ': ' || p_type AS lesson_name, p_name AS pattern_name
+  FROM (SELECT p_name, min(p_partkey) AS p, arg_min(p_type, p_partkey) AS p_type FROM part GROUP BY p_name))"""
+
+
+def mapping_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Each document is a question that mentions a part."""
+    i = F.col("doc_id")
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    return (
+        table(spark, d, "documents")
+        .join(parts, i % 200 == F.col("p_partkey"))
+        .select(
+            i.alias("question_id"),
+            F.concat_ws(" ", "text", "p_type").alias("content"),
+            F.when(i % 3 == 0, F.concat(F.lit("Xét "), "p_name")).alias("passage_excerpt"),
+            F.when(i % 2 == 0, F.upper("p_name")).when(i % 5 == 0, "Đại số").alias("suggested_skill_name"),
+            F.element_at(
+                F.array(F.lit("MATH"), F.lit("GENERAL"), F.lit("phys "), F.lit("ENGL")), (i % 4 + 1).cast("int")
+            ).alias("subject_code"),
+        )
+    )
+
+
+MAPPING_QUESTIONS = """asked AS (
+  SELECT doc_id AS question_id, text || ' ' || p_type AS content,
+         CASE WHEN doc_id % 3 = 0 THEN 'Xét ' || p_name END AS passage_excerpt,
+         CASE WHEN doc_id % 2 = 0 THEN upper(p_name) WHEN doc_id % 5 = 0 THEN 'Đại số' END AS suggested_skill_name,
+         ['MATH', 'GENERAL', 'PHYS', 'ENGL'][doc_id % 4 + 1] AS subject_code
+  FROM documents JOIN part ON doc_id % 200 = p_partkey)"""
