@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions.text import is_blank, stable_id, strip
 from gradus.operators.ordered import bucket_of, carry_last, running_sum
-from gradus.session import stacked
+from gradus.session import checkpointed, stacked
 
 CATALOG_SCHEMA = (
     "id string, document_group_id string, file_name string, version int, file_hash string, "
@@ -47,7 +47,8 @@ def decide_versions(hashed: DataFrame, catalog: DataFrame) -> DataFrame:
 
     An upload is compared with the content that is current when it arrives: the upload before it,
     or the catalog's current version for the first. Going back to older content is a new version.
-    Content itself is not carried along; only its hash is shuffled.
+    Content itself is not carried along; only its hash is shuffled. Decisions are kept on the
+    checkpoint storage, as everything that follows is built on them.
     """
     known = catalog.groupBy("file_name").agg(
         F.max_by("document_group_id", "version").alias("_group"),
@@ -80,7 +81,7 @@ def decide_versions(hashed: DataFrame, catalog: DataFrame) -> DataFrame:
     group = F.coalesce("_group", stable_id(F.col("file_name")))
     kept = counted.withColumn("version", version).withColumn("document_group_id", group)
     fresh_id = stable_id(F.col("file_name"), F.col("version"))
-    return kept.withColumns(
+    decided = kept.withColumns(
         {
             "action": F.when(F.col("_changed") == 0, "UNCHANGED")
             .when(F.col("version") == 1, "NEW")
@@ -88,6 +89,7 @@ def decide_versions(hashed: DataFrame, catalog: DataFrame) -> DataFrame:
             "document_id": F.when(F.col("_changes") == 0, F.col("_current.id")).otherwise(fresh_id),
         }
     ).drop("_group", "_highest", "_current", "_before", "_changed", "_changes")
+    return checkpointed(decided)
 
 
 def with_document(chunks: DataFrame, decisions: DataFrame) -> DataFrame:

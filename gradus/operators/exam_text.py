@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.text import strip
+from gradus.session import checkpointed
 
 # Private-use glyphs of exam fonts and the LaTeX they stand for.
 GLYPHS = {
@@ -218,7 +219,7 @@ def parse(exams: DataFrame) -> dict[str, DataFrame]:
     A passage names at most 26 numbers, so it is exploded into them and met by an equi-join.
     """
     cut = pieces(exams)
-    asked, told = questions(cut), passages(cut)
+    asked, told = checkpointed(questions(cut)), checkpointed(passages(cut))
     numbers = told.withColumn(
         "question_number", F.explode(F.sequence("start_question", "end_question"))
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gradus.functions.text import is_blank, is_uuid, strip
 from gradus.operators.blocks import score_blocks
 from gradus.operators.retrieval import vector_top_k
-from gradus.session import stacked
+from gradus.session import checkpointed, stacked
 
 # Similarity floor, numbers kept, identity ratio, the mark of curriculum material.
 MIN_SIMILARITY = 0.75
@@ -58,8 +58,8 @@ def anchors(
         questions.where("skill_id is not null"), bank, "question_id", "archetype_id", top_k,
         query_scope="skill_id", bank_scope="_skill",
     )
-    both = stacked(
-        own.withColumn("scope", F.lit("SKILL")), every.withColumn("scope", F.lit("GLOBAL"))
+    both = checkpointed(
+        stacked(own.withColumn("scope", F.lit("SKILL")), every.withColumn("scope", F.lit("GLOBAL")))
     )
     best = both.groupBy("question_id").agg(
         F.max(F.when(F.col("scope") == "SKILL", F.col("similarity"))).alias("_own"),
@@ -301,7 +301,9 @@ def subgraphs(
         )
     )
     others = asks.join(material.select("question_id"), "question_id", "left_anti")
-    grounded = ground(others, anchors(others, archetypes, min_similarity), min_similarity)
+    grounded = checkpointed(
+        ground(others, anchors(others, archetypes, min_similarity), min_similarity)
+    )
     names = archetypes.select(
         "archetype_id", "pattern_code", "pattern_name", "core_theorems", "fast_solving_heuristics"
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions import irt
 from gradus.operators.blocks import attach_dimension
-from gradus.session import stacked
+from gradus.session import checkpointed, stacked
 
 SUBMISSION = ["student_id", "submission_id"]
 DEFAULT_MODEL = irt.ItemModel()
@@ -289,14 +289,19 @@ def diagnose(
     targets: DataFrame,
     model: irt.ItemModel = DEFAULT_MODEL,
 ) -> dict[str, DataFrame]:
-    """All result tables of the diagnostic report, for every submission at once."""
-    by_skill = answer_counts(responses, [*SUBMISSION, "domain_id", "skill_id"], model)
+    """All result tables of the diagnostic report, for every submission at once.
+
+    Answers are read and reduced once: the counts all tables share are kept on checkpoint storage.
+    """
+    by_skill = checkpointed(
+        answer_counts(responses, [*SUBMISSION, "domain_id", "skill_id"], model)
+    )
     by_domain = roll_up(by_skill, [*SUBMISSION, "domain_id"], model)
     by_submission = roll_up(by_domain, SUBMISSION, model)
-    abilities = ability(by_submission, model).withColumn(
-        "placement_class", irt.placement(F.col("theta"))
+    abilities = checkpointed(
+        ability(by_submission, model).withColumn("placement_class", irt.placement(F.col("theta")))
     )
-    domains = domain_scores(by_domain, abilities, domain_names, model)
+    domains = checkpointed(domain_scores(by_domain, abilities, domain_names, model))
     return {
         "abilities": abilities.select(*SUBMISSION, "theta", "placement_class", "total_questions"),
         "domain_scores": domains,

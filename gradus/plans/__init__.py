@@ -32,4 +32,5 @@ def load_all() -> None:
         novelty,
         psychometrics,
         retrieval,
+        textbook,
     )

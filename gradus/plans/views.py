@@ -269,6 +269,7 @@ BOOK_TEXT = """concat(
   CASE WHEN {page} % 11 = 7 THEN concat('[IMAGE_PLACEHOLDER: type="graph_2d" | desc="Đồ thị ', CAST({page} AS VARCHAR(9)), '"]', chr(10), '[IMAGE_PLACEHOLDER: mạch điện số ', CAST({page} AS VARCHAR(9)), ']', chr(10)) ELSE '' END,
   CASE WHEN {page} % 9 = 4 THEN concat('Hình 1.', CAST({page} AS VARCHAR(9)), ': Sơ đồ thí nghiệm', chr(10)) ELSE '' END,
   CASE WHEN {page} % 13 = 6 THEN concat('Nhà xuất bản: Trẻ', chr(10)) ELSE '' END,
+  CASE WHEN {page} % 29 = 12 THEN concat('Trình bày bìa và chủ biên', chr(10)) ELSE '' END,
   CASE WHEN {page} % 5 = 0 THEN concat(CAST({page} % 1000 AS VARCHAR(9)), chr(10), 'Nguồn: Sưu tầm', chr(10), 'Em có biết?', chr(10)) ELSE '' END,
   CASE WHEN {page} % 10 = 8 THEN concat('Ví dụ 3. Lời giải', chr(10)) ELSE '' END,
   CASE WHEN {page} % 10 = 9 THEN concat('Luyện tập 2', chr(10)) ELSE '' END,
@@ -612,3 +613,35 @@ MAPPING_QUESTIONS = """asked AS (
          CASE WHEN doc_id % 2 = 0 THEN upper(p_name) WHEN doc_id % 5 = 0 THEN 'Đại số' END AS suggested_skill_name,
          ['MATH', 'GENERAL', 'PHYS', 'ENGL'][doc_id % 4 + 1] AS subject_code
   FROM documents JOIN part ON doc_id % 200 = p_partkey)"""
+
+
+def book_sources(spark: SparkSession, d: str) -> DataFrame:
+    return book_pages(spark, d).groupBy("source_id").agg(F.count(F.lit(1)).alias("_n")).select(
+        "source_id",
+        F.lit("PHYS").alias("subject_code"),
+        F.lit(9).alias("grade"),
+        F.lit("Cánh diều").alias("book_edition"),
+    )
+
+
+def book_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark item is a node of the curriculum, named by its words."""
+    w = F.split(F.lower(F.regexp_replace("text", r"[.,\s]+", " ")), " ")
+    i = F.col("item_id")
+    return table(spark, d, "benchmark").select(
+        i.alias("ord"),
+        F.when(i % 2 == 0, "MATH").otherwise("CHEM").alias("subject_code"),
+        (i % 3 + 10).cast("int").alias("grade"),
+        F.concat(F.lit("Chương "), i % 4 + 1, F.lit(": "), F.array_join(F.slice(w, 1, 2), " ")).alias("chapter_name"),
+        F.concat(F.lit("Bài "), i % 5 + 1, F.lit(": "), F.array_join(F.slice(w, 3, 2), " ")).alias("lesson_name"),
+        F.concat(F.lit("Dạng "), i % 6 + 1, F.lit(": "), F.array_join(F.slice(w, 5, 6), " ")).alias("pattern_name"),
+    )
+
+
+BOOK_NODES = """book_nodes AS (
+  SELECT item_id AS ord, CASE WHEN item_id % 2 = 0 THEN 'MATH' ELSE 'CHEM' END AS subject_code,
+         CAST(item_id % 3 + 10 AS INTEGER) AS grade,
+         'Chương ' || (item_id % 4 + 1) || ': ' || array_to_string(w[1:2], ' ') AS chapter_name,
+         'Bài ' || (item_id % 5 + 1) || ': ' || array_to_string(w[3:4], ' ') AS lesson_name,
+         'Dạng ' || (item_id % 6 + 1) || ': ' || array_to_string(w[5:10], ' ') AS pattern_name
+  FROM (SELECT item_id, string_split(lower(regexp_replace(text, '[.,\\s]+', ' ', 'g')), ' ') AS w FROM benchmark))"""

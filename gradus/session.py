@@ -21,7 +21,7 @@ def local_session(app: str = "gradus", cpus: int | str = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("FATAL")
     return spark
 
 
