@@ -27,6 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load_all() -> None:
     from gradus.plans import (  # noqa: F401
         catalog,
+        curriculum,
         exam,
         graph,
         novelty,
