@@ -28,6 +28,7 @@ def load_all() -> None:
     from gradus.plans import (  # noqa: F401
         catalog,
         curriculum,
+        dialogue,
         exam,
         graph,
         novelty,
