@@ -34,5 +34,6 @@ def load_all() -> None:
         novelty,
         psychometrics,
         retrieval,
+        streams,
         textbook,
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,14 @@ def local_session(app: str = "gradus", cpus: int | str = 8) -> SparkSession:
     return spark
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder on the shared storage that ``spark.checkpoint.dir`` names (see below)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
+        prefix="spark-", dir="/tmp"
+    )
+    return f"{named}/gradus-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage on shared storage, so that a lost executor never costs the cut result.
 
