@@ -78,7 +78,7 @@ ENGLISH_RANGE = r"Questions?\s+(\d+)\s*[-–to]+\s*(\d+)"
 
 _CUT = "\u0001"
 _QUESTION_LINE = rf"\s*(?:(?:{QUESTION_WORDS})\s+\d+|\d{{1,3}}\s*[.:]\s+[^\n])"
-_QUESTION = rf"(?isu)^\s*(?:(?:{QUESTION_WORDS})\s+(\d+)|(\d{{1,3}})\s*[.:])\s*[:.]?\s*(.*)$"
+_QUESTION = rf"(?iu)^\s*(?:(?:{QUESTION_WORDS})\s+(\d+)|(\d{{1,3}})\s*[.:])\s*[:.]?\s*"
 _BODY_END = (
     rf"(?isu)(?:\n\s*(?:{PASSAGE_OPENERS}|Questions?\s+\d+\s*[-–to]+\s*\d+)|{END_MARK}).*$"
 )
@@ -131,46 +131,60 @@ def pieces(exams: DataFrame) -> DataFrame:
     )
 
 
-def split_options(body: Column) -> dict[str, Column]:
-    """Stem and options of a question body, as columns stem, option_a ... option_d."""
-    keys = F.regexp_extract_all(body, F.lit(_OPTION), F.lit(1))
-    values = F.regexp_extract_all(body, F.lit(_OPTION), F.lit(2))
-    first = F.array_position(keys, "A")
-    real = (first > 0) & (F.size(keys) - first + 1 >= 2)
-    letters_only = ~real & body.rlike(_LETTERS_ONLY)
+def split_options(rows: DataFrame, body: str = "body") -> DataFrame:
+    """Adds stem and option_a ... option_d of a question body. The expensive matches are columns of
+    their own first, so that each is made once.
+    """
+    first = F.array_position("_keys", "A")
+    real = (first > 0) & (F.size("_keys") - first + 1 >= 2)
+    matched = rows.withColumns(
+        {
+            "_keys": F.regexp_extract_all(body, F.lit(_OPTION), F.lit(1)),
+            "_values": F.regexp_extract_all(body, F.lit(_OPTION), F.lit(2)),
+        }
+    ).withColumns({"_first": first.cast("int"), "_real": real})
+    judged = matched.withColumn(
+        "_letters_only", ~F.col("_real") & F.col(body).rlike(_LETTERS_ONLY)
+    ).withColumn("_counted", F.slice("_keys", F.greatest("_first", F.lit(1)), F.size("_keys")))
     out = {
         "stem": strip(
-            F.when(real, F.regexp_replace(body, _FIRST_OPTION, ""))
-            .when(letters_only, F.regexp_replace(body, _LETTERS_ONLY, ""))
-            .otherwise(body)
+            F.when(F.col("_real"), F.regexp_replace(body, _FIRST_OPTION, ""))
+            .when(F.col("_letters_only"), F.regexp_replace(body, _LETTERS_ONLY, ""))
+            .otherwise(F.col(body))
         )
     }
-    counted = F.slice(keys, F.greatest(first, F.lit(1)), F.size(keys))
     for letter in LETTERS:
-        place = F.array_position(counted, letter)
-        value = F.get(values, (first + place - 2).cast("int"))
+        place = F.array_position("_counted", letter)
+        value = F.get("_values", (F.col("_first") + place - 2).cast("int"))
         clean = F.regexp_replace(strip(value), r"\s+", " ")
         out[f"option_{letter.lower()}"] = (
-            F.when(real & (place > 0), clean).when(letters_only, letter).otherwise("")
+            F.when(F.col("_real") & (place > 0), clean)
+            .when(F.col("_letters_only"), letter)
+            .otherwise("")
         )
-    return out
+    return judged.withColumns(out).drop(
+        "_keys", "_values", "_first", "_real", "_letters_only", "_counted"
+    )
 
 
 def question_candidates(cut: DataFrame) -> DataFrame:
+    """Pieces that open with a question number; piece 0 does only in a text that starts so."""
     explicit = F.regexp_extract("piece", _QUESTION, 1)
-    number = F.when(explicit != "", explicit).otherwise(F.regexp_extract("piece", _QUESTION, 2))
-    body = F.regexp_replace(F.regexp_extract("piece", _QUESTION, 3), _BODY_END, "")
-    rows = cut.where("pos > 0 or piece rlike '^\\\\s*[0-9CcQq]'").select(
+    bare = F.regexp_extract("piece", _QUESTION, 2)
+    numbered = cut.withColumns({"_explicit": explicit, "_bare": bare})
+    body = F.regexp_replace(F.regexp_replace("piece", _QUESTION, ""), _BODY_END, "")
+    rows = numbered.select(
         "exam_id",
         "pos",
         "page_number",
-        number.try_cast("int").alias("question_number"),
-        (explicit != "").alias("explicit"),
+        F.when(F.col("_explicit") != "", F.col("_explicit"))
+        .otherwise(F.col("_bare"))
+        .try_cast("int")
+        .alias("question_number"),
+        (F.col("_explicit") != "").alias("explicit"),
         _without_marks(body).alias("body"),
     )
-    return rows.where(F.col("question_number").between(1, MAX_QUESTION)).withColumns(
-        split_options(F.col("body"))
-    )
+    return split_options(rows.where(F.col("question_number").between(1, MAX_QUESTION)))
 
 
 def questions(cut: DataFrame) -> DataFrame:
@@ -181,11 +195,13 @@ def questions(cut: DataFrame) -> DataFrame:
     counts = (F.col("body") == "") | F.col("explicit") | (
         (F.col("option_a") != "") & (F.col("option_b") != "")
     )
-    first = Window.partitionBy("exam_id", "question_number").orderBy("pos")
+    # A window minimum, not a filter on the rank: a filter would be pushed below the matches and
+    # make each of them twice.
+    same = Window.partitionBy("exam_id", "question_number")
     return (
-        rows.where(counts)
-        .withColumn("_rank", F.row_number().over(first))
-        .where("_rank = 1 and body <> ''")
+        rows.withColumn("_at", F.when(counts, F.col("pos")))
+        .withColumn("_first", F.min("_at").over(same))
+        .where("pos = _first and body <> ''")
         .select(
             "exam_id", "question_number", "page_number", F.col("stem").alias("content"),
             *[f"option_{x.lower()}" for x in LETTERS],

@@ -33,10 +33,11 @@ def _snapshot(spark: SparkSession, d: str) -> DataFrame:
     return _swapped(spark, d, decisions, _paragraphs(spark, d, decisions))
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
+def _snapshot_and_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     decisions = _decisions(spark, d)
     paragraphs = _paragraphs(spark, d, decisions)
-    return ops.flag_chunks(paragraphs, _swapped(spark, d, decisions, paragraphs))
+    snapshot = _swapped(spark, d, decisions, paragraphs)
+    return snapshot, ops.flag_chunks(paragraphs, snapshot)
 
 
 @query(
@@ -172,8 +173,9 @@ WHERE document_group_id NOT IN ({_FRENCH}) GROUP BY document_id""",
 )
 def purge(spark: SparkSession, d: str) -> DataFrame:
     gone = _french(spark, d)
-    catalog = ops.purge(_snapshot(spark, d), gone).groupBy("id")
-    chunks = ops.purge(_chunks(spark, d), gone).groupBy(F.col("document_id").alias("id"))
+    snapshot, stored = _snapshot_and_chunks(spark, d)
+    catalog = ops.purge(snapshot, gone).groupBy("id")
+    chunks = ops.purge(stored, gone).groupBy(F.col("document_id").alias("id"))
     n = F.count(F.lit(1)).alias("n")
     return (
         catalog.agg(n)
@@ -191,4 +193,4 @@ SELECT (SELECT count(DISTINCT document_group_id) FROM snapshot) AS total_documen
 FROM paragraphs p JOIN snapshot s ON p.document_id = s.id""",
 )
 def catalog_stats(spark: SparkSession, d: str) -> DataFrame:
-    return ops.stats(_snapshot(spark, d), _chunks(spark, d))
+    return ops.stats(*_snapshot_and_chunks(spark, d))

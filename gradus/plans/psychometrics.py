@@ -261,7 +261,8 @@ ends AS (
   FROM domains GROUP BY {_SUB}),
 placed AS (SELECT *, {_PLACE} AS placement_class FROM overall)
 SELECT student_id, submission_id, best.i AS best_domain, worst.i AS worst_domain,
-  'Kết quả phân tích cho thấy năng lực tổng quan θ = ' || CAST(round(CAST(theta AS DECIMAL(18, 4)), 2) AS VARCHAR)
+  'Kết quả phân tích cho thấy năng lực tổng quan θ = ' || CASE WHEN theta < 0 AND theta > -0.005 THEN '-' ELSE '' END
+  || CAST(round(CAST(theta AS DECIMAL(18, 4)), 2) AS VARCHAR)
   || '. Bạn được đề xuất tham gia ' || {_LABEL_SQL} || '. ' ||
   CASE WHEN best.i = worst.i
     THEN 'Lĩnh vực ''' || best.n || ''' đạt độ chính xác '

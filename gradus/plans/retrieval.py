@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradus.operators import chunking
 from gradus.operators import retrieval as ops
 from gradus.plans import query, views
-from gradus.plans.catalog import _chunks
+from gradus.plans.catalog import _snapshot_and_chunks
 from gradus.sources.tables import table
 
 
@@ -49,7 +49,7 @@ SELECT p.document_id, s.document_group_id, file_name, version, is_current, file_
 FROM paragraphs p JOIN snapshot s ON p.document_id = s.id GROUP BY ALL""",
 )
 def chunk_stamping(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).groupBy(
+    return _snapshot_and_chunks(spark, d)[1].groupBy(
         "document_id", "document_group_id", "file_name", "version", "is_current", "source", "type"
     ).agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content")).alias("chars"))
 
