@@ -1,7 +1,7 @@
 """Scoring every row of one table against every row of another, without a cross join.
 
 The kernel gets two pandas blocks and returns the best few per row, so pairs are never emitted.
-If the smaller table is proven small (rows counted, bytes per row given) it is broadcast and the
+If the smaller table is proven small (its bytes are summed first) it is broadcast and the
 larger one is only streamed past it. Otherwise both are cut into hash blocks and each pair of
 blocks becomes one bounded group of a cogroup. Either way all pairs are considered.
 """
@@ -12,7 +12,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 128 * 1024 * 1024
@@ -29,13 +29,16 @@ def score_blocks(
     small_key: str,
     kernel: Kernel,
     schema: str,
-    small_row_bytes: int,
+    small_bytes: Column,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
 ) -> tuple[DataFrame, bool]:
     """The kernel's rows, and whether each large row has met the whole small table already."""
-    n_small = small.count()
-    if n_small * small_row_bytes <= broadcast_bytes:
+    size = small.agg(F.count(F.lit(1)).alias("rows"), F.sum(small_bytes).alias("bytes")).first()
+    n_small = size["rows"]
+    if n_small == 0:
+        return large.sparkSession.createDataFrame([], schema), True
+    if size["bytes"] <= broadcast_bytes:
         held = large.sparkSession.sparkContext.broadcast(small.toPandas())
 
         def stream(batches):

@@ -115,7 +115,6 @@ def nearest_exemplars(
         f"question_id {types['question_id']}, exemplar_id {types['exemplar_id']}, "
         f"created_at {types['created_at']}, text_match_ratio double"
     )
-    longest = e.agg(F.max(F.length("_e"))).first()[0]
 
     def compare(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         groups = {
@@ -149,7 +148,7 @@ def nearest_exemplars(
         )
 
     found, _ = score_blocks(
-        q, e, "question_id", "exemplar_id", compare, schema, 4 * (longest or 1) + 200, **limits
+        q, e, "question_id", "exemplar_id", compare, schema, F.length("_e") * 4 + 200, **limits
     )
     order = Window.partitionBy("question_id").orderBy(
         F.col("text_match_ratio").desc(), "created_at", "exemplar_id"

@@ -168,9 +168,9 @@ def map_questions(questions: DataFrame, nodes: DataFrame, **limits: int) -> Data
     q, n = _prepared_questions(questions), _prepared_nodes(nodes)
     types = [df.schema[c].dataType.simpleString() for df, c in ((q, "question_id"), (n, "ord"))]
     schema = f"question_id {types[0]}, ord {types[1]}, score double"
-    width = n.agg(F.max(F.length(F.concat_ws(" ", "pattern", "lesson", "chapter", "domain")))).first()[0]
+    width = F.length(F.concat_ws(" ", "pattern", "lesson", "chapter", "domain")) * 8 + 200
     found, complete = score_blocks(
-        q, n, "question_id", "ord", _best_nodes, schema, 8 * (width or 1) + 200, **limits
+        q, n, "question_id", "ord", _best_nodes, schema, width, **limits
     )
     if not complete:
         found = (

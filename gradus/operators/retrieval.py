@@ -25,10 +25,7 @@ def _ranked(found: DataFrame, key: str, score: str, tie: str, k: int) -> DataFra
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def vector_bytes(df: DataFrame, embedding: str = "embedding") -> int:
-    """Upper estimate of a row with one vector, from the longest one present."""
-    longest = df.agg(F.max(F.size(embedding)).alias("n")).first()["n"]
-    return 12 * (longest or 1) + 64
+VECTOR_BYTES = "size(embedding) * 8 + 64"
 
 
 def vector_top_k(
@@ -61,11 +58,11 @@ def vector_top_k(
 
     if bank_is_large:
         found, _ = score_blocks(
-            b, q, bank_id, query_id, rank_for_queries, schema, vector_bytes(q), **limits
+            b, q, bank_id, query_id, rank_for_queries, schema, F.expr(VECTOR_BYTES), **limits
         )
     else:
         found, _ = score_blocks(
-            q, b, query_id, bank_id, rank_in_bank, schema, vector_bytes(b), **limits
+            q, b, query_id, bank_id, rank_in_bank, schema, F.expr(VECTOR_BYTES), **limits
         )
     return _ranked(found, query_id, "similarity", bank_id, k)
 
@@ -119,7 +116,7 @@ def keyword_top_k(
     c = chunks.select("chunk_id", F.lower("content").alias("_text"), *extra)
     types = [df.schema[n].dataType.simpleString() for df, n in ((q, query_id), (c, "chunk_id"))]
     schema = f"{query_id} {types[0]}, chunk_id {types[1]}, score double"
-    size = q.agg(F.max(F.aggregate("_words", F.lit(0), lambda s, w: s + F.length(w) + 60))).first()[0]
+    size = F.aggregate("_words", F.lit(64), lambda s, w: s + F.length(w) * 2 + 60)
 
     def score(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("chunk_id", kind="stable").reset_index(drop=True)
@@ -141,7 +138,7 @@ def keyword_top_k(
                 ) else None
         return pd.DataFrame(parts, columns=[query_id, "chunk_id", "score"])
 
-    found, _ = score_blocks(c, q, "chunk_id", query_id, score, schema, size or 64, **limits)
+    found, _ = score_blocks(c, q, "chunk_id", query_id, score, schema, size, **limits)
     return _ranked(found, query_id, "score", "chunk_id", k)
 
 

@@ -554,7 +554,9 @@ def _found_in(texts: pd.Series, phrases: list[str]) -> np.ndarray:
     return _word_hits(texts, phrases)
 
 
-def _match_pages(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+def _match_pages(
+    batch: pd.DataFrame, held: pd.DataFrame, all_grades: list[int]
+) -> pd.DataFrame:
     nodes = held.sort_values("ord", kind="stable").reset_index(drop=True)
     phrases = sorted(
         {p for p in [*nodes["chapter"], *nodes["lesson"]] if p}
@@ -577,7 +579,7 @@ def _match_pages(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     base[other_subject] = -np.inf
     grades, ords = nodes["grade"].to_numpy(), nodes["ord"].to_numpy()
     parts = []
-    for running in [ANY_OTHER_GRADE, *sorted(set(grades.tolist()))]:
+    for running in [ANY_OTHER_GRADE, *all_grades]:
         score = base + GRADE_HIT * (grades == running)
         best = np.argmax(score, axis=1)
         value = score[np.arange(len(batch)), best]
@@ -605,9 +607,14 @@ def match_nodes(pages: DataFrame, nodes: DataFrame, **limits: int) -> DataFrame:
     n = node_phrases(nodes)
     types = [df.schema[c].dataType.simpleString() for df, c in ((p, "_page"), (n, "ord"))]
     schema = f"_page {types[0]}, running_grade int, ord {types[1]}, score int"
-    width = n.agg(F.max(F.length("chapter") + F.length("lesson") + F.size("keywords") * 60)).first()[0]
+    width = (F.length("chapter") + F.length("lesson") + F.size("keywords") * 60) * 4 + 100
+    all_grades = sorted(r[0] for r in nodes.select("grade").distinct().collect())
+
+    def match(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        return _match_pages(batch, held, all_grades)
+
     found, complete = score_blocks(
-        p, n, "_page", "ord", _match_pages, schema, 4 * (width or 1) + 100, **limits
+        p, n, "_page", "ord", match, schema, width, **limits
     )
     if complete:
         return found
