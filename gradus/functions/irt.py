@@ -144,14 +144,18 @@ def grid_theta(counts: np.ndarray, model: ItemModel, steps: int = GRID_STEPS) ->
     return np.round(np.where(counts.sum(axis=1) > 0, theta, 0.0), 4)
 
 
-def theta(model: ItemModel, method: str = "refined") -> Column:
-    """Ability from the count columns of the current row, in Arrow batches."""
+def theta(model: ItemModel, method: str = "refined", min_items: int = 1) -> Column:
+    """Ability from the count columns of the current row, in Arrow batches; 0 below ``min_items``."""
     solve = {"refined": refined_theta, "grid": grid_theta}[method]
 
     def estimate(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             counts = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            yield pd.Series(solve(counts, model))
+            enough = counts.sum(axis=1) >= min_items
+            found = np.zeros(len(counts))
+            if enough.any():
+                found[enough] = solve(counts[enough], model)
+            yield pd.Series(found)
 
     estimate.__annotations__ = {
         "batches": Iterator[tuple[pd.Series, ...]],

@@ -8,9 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def collapse(text: Column) -> Column:

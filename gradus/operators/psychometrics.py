@@ -85,10 +85,16 @@ def roll_up(counts: DataFrame, keys: list[str], model: irt.ItemModel = DEFAULT_M
 
 
 def ability(
-    counts: DataFrame, model: irt.ItemModel = DEFAULT_MODEL, method: str = "refined"
+    counts: DataFrame,
+    model: irt.ItemModel = DEFAULT_MODEL,
+    method: str = "refined",
+    min_items: int = 1,
 ) -> DataFrame:
-    """Adds ``theta``. ``refined`` follows the reference search; ``grid`` is a coarse check on it."""
-    return counts.withColumn("theta", irt.theta(model, method))
+    """Adds ``theta``. ``refined`` follows the reference search; ``grid`` is a coarse check on it.
+
+    Keys with fewer than ``min_items`` answers get 0 and are to be given another estimate.
+    """
+    return counts.withColumn("theta", irt.theta(model, method, min_items))
 
 
 def submission_ability(
@@ -116,7 +122,7 @@ def domain_scores(
     model: irt.ItemModel = DEFAULT_MODEL,
 ) -> DataFrame:
     """Per domain: own ability from three answers up, the submission's below that."""
-    own = ability(domain_counts, model).withColumnRenamed("theta", "_own")
+    own = ability(domain_counts, model, min_items=MIN_ITEMS_DOMAIN).withColumnRenamed("theta", "_own")
     overall = abilities.select(*SUBMISSION, F.col("theta").alias("_overall"))
     return (
         own.join(overall, SUBMISSION)
@@ -140,7 +146,7 @@ def measured_priors(
     skill_counts: DataFrame, domains: DataFrame, model: irt.ItemModel = DEFAULT_MODEL
 ) -> DataFrame:
     """Mastery priors of answered skills."""
-    own = ability(skill_counts, model).withColumnRenamed("theta", "_own")
+    own = ability(skill_counts, model, min_items=MIN_ITEMS_SKILL).withColumnRenamed("theta", "_own")
     parent = domains.select(*SUBMISSION, "domain_id", "theta_domain")
     shift = F.when(F.col("correct_count") > 0, SINGLE_ITEM_SHIFT).otherwise(-SINGLE_ITEM_SHIFT)
     single = F.coalesce(F.col("theta_domain"), F.lit(0.0)) + shift

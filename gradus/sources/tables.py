@@ -6,8 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Tables whose texts take long to work on, and the key to spread them by.
+TEXT_TABLES = {"documents": "doc_id"}
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{name}.parquet")
+    rows = spark.read.parquet(f"{base}/{name}.parquet")
+    return spread(rows, TEXT_TABLES[name]) if name in TEXT_TABLES else rows
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan of a few large row groups spread over all cores; one of many files stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
 
 
 def json_records(
