@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 128 * 1024 * 1024
 BLOCK_ROWS = 16_384
 DIMENSION_BLOCK = 4_096
+SALTS = 64
+# Kernels that hold a matrix of words by nodes take no more nodes than this at a time.
+NODE_LIMITS = {"broadcast_rows": 2_048, "block_rows": 2_048}
+CELLS_AT_ONCE = 4_000_000
 
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
@@ -32,13 +36,14 @@ def score_blocks(
     small_bytes: Column,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
+    broadcast_rows: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """The kernel's rows, and whether each large row has met the whole small table already."""
     size = small.agg(F.count(F.lit(1)).alias("rows"), F.sum(small_bytes).alias("bytes")).first()
     n_small = size["rows"]
     if n_small == 0:
         return large.sparkSession.createDataFrame([], schema), True
-    if size["bytes"] <= broadcast_bytes:
+    if size["bytes"] <= broadcast_bytes and n_small <= (broadcast_rows or n_small):
         held = large.sparkSession.sparkContext.broadcast(small.toPandas())
 
         def stream(batches):
@@ -69,17 +74,36 @@ def score_blocks(
     return paired.applyInPandas(pair, schema), small_blocks == 1
 
 
+def slices(batch: pd.DataFrame, width: int):
+    """Parts of a batch so short that a dense matrix of ``width`` columns stays small."""
+    step = max(1, CELLS_AT_ONCE // max(1, width))
+    for start in range(0, len(batch), step):
+        yield batch.iloc[start : start + step]
+
+
 def attach_dimension(df: DataFrame, dimension: DataFrame, out: str) -> DataFrame:
     """Give each row the whole dimension as arrays of at most a block's rows.
 
     The dimension is cut into hash blocks of bounded size; a row is repeated per block and meets
-    it in an equi-join on the block number.
+    it in an equi-join on the block number. The blocks are broadcast if their summed size is under
+    the limit, else each is copied to several salts, so that no block number is a hot key.
     """
-    blocks = max(1, math.ceil(dimension.count() / DIMENSION_BLOCK))
+    text = F.concat_ws(" ", *[F.col(c).cast("string") for c in dimension.columns])
+    size = dimension.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.length(text) * 2 + 64).alias("bytes")
+    ).first()
+    blocks = max(1, math.ceil(size["rows"] / DIMENSION_BLOCK))
     packed = (
         dimension.withColumn("_block", F.pmod(F.xxhash64(*dimension.columns), F.lit(blocks)))
         .groupBy("_block")
         .agg(F.collect_list(F.struct(*dimension.columns)).alias(out))
     )
     numbers = F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")
-    return df.withColumn("_block", F.explode(numbers)).join(packed, "_block").drop("_block")
+    rows = df.withColumn("_block", F.explode(numbers))
+    if (size["bytes"] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(packed), "_block").drop("_block")
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    return salted.join(packed.withColumn("_salt", F.explode(salts)), ["_block", "_salt"]).drop(
+        "_block", "_salt"
+    )

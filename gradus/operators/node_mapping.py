@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions.text import folded, meaningful_tokens
-from gradus.operators.blocks import score_blocks
+from gradus.operators.blocks import NODE_LIMITS, score_blocks
 
 # Words without meaning here, weights, subjects by words in domain or chapter.
 STOP_WORDS = [
@@ -170,7 +170,7 @@ def map_questions(questions: DataFrame, nodes: DataFrame, **limits: int) -> Data
     schema = f"question_id {types[0]}, ord {types[1]}, score double"
     width = F.length(F.concat_ws(" ", "pattern", "lesson", "chapter", "domain")) * 8 + 200
     found, complete = score_blocks(
-        q, n, "question_id", "ord", _best_nodes, schema, width, **limits
+        q, n, "question_id", "ord", _best_nodes, schema, width, **(NODE_LIMITS | limits)
     )
     if not complete:
         found = (

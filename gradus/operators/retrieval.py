@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions import vectors
 from gradus.functions.text import strip
-from gradus.operators.blocks import score_blocks
+from gradus.operators.blocks import score_blocks, slices
 from gradus.operators.ordered import bucket_of, running_sum
 
 DEFAULT_TOP_K = 4
@@ -119,24 +119,30 @@ def keyword_top_k(
     size = F.aggregate("_words", F.lit(64), lambda s, w: s + F.length(w) * 2 + 60)
 
     def score(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("chunk_id", kind="stable").reset_index(drop=True)
         words = sorted({w for ws in held["_words"] for w in ws})
         place = {w: j for j, w in enumerate(words)}
-        hits = _word_hits(batch["_text"], words)
-        parts = []
+        ordered = batch.sort_values("chunk_id", kind="stable")
+        parts = [
+            best
+            for part in slices(ordered, len(words))
+            for best in score_part(part, held, words, place)
+        ]
+        return pd.DataFrame(parts, columns=[query_id, "chunk_id", "score"])
+
+    def score_part(part: pd.DataFrame, held: pd.DataFrame, words: list[str], place: dict):
+        ids = part["chunk_id"].to_numpy()
+        hits = _word_hits(part["_text"], words)
         for row in held.to_dict("records"):
             ws = row["_words"]
             if len(ws):
                 values = hits[:, [place[w] for w in ws]].sum(axis=1) / len(ws)
             else:
-                values = np.full(len(batch), EMPTY_QUERY_SCORE)
+                values = np.full(len(part), EMPTY_QUERY_SCORE)
             if skill and row[skill]:
-                values[batch[skill].str.lower().to_numpy() != row[skill].lower()] = -np.inf
+                values[part[skill].str.lower().to_numpy() != row[skill].lower()] = -np.inf
             for _, _, cols, best in vectors.best_columns(values[None, :], k):
-                parts.append((row[query_id], batch["chunk_id"].iloc[cols[0]], best[0])) if len(
-                    cols
-                ) else None
-        return pd.DataFrame(parts, columns=[query_id, "chunk_id", "score"])
+                if len(cols):
+                    yield row[query_id], ids[cols[0]], best[0]
 
     found, _ = score_blocks(c, q, "chunk_id", query_id, score, schema, size, **limits)
     return _ranked(found, query_id, "score", "chunk_id", k)

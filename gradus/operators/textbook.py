@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions.text import contains_any, is_blank, strip
-from gradus.operators.blocks import score_blocks
+from gradus.operators.blocks import NODE_LIMITS, score_blocks, slices
 from gradus.operators.ordered import bucket_of, carry_last
 from gradus.session import checkpointed
 
@@ -571,29 +571,27 @@ def _match_pages(
             weights[place[node.chapter], j] += CHAPTER_HIT
         for word in node.keywords:
             weights[place[word], j] += KEYWORD_HIT
-    base = _found_in(batch["_text"], phrases) @ weights
-    other_subject = (
-        batch["subject_code"].str.lower().to_numpy()[:, None]
-        != nodes["subject_code"].str.lower().to_numpy()[None, :]
-    )
-    base[other_subject] = -np.inf
+    subjects = nodes["subject_code"].str.lower().to_numpy()[None, :]
     grades, ords = nodes["grade"].to_numpy(), nodes["ord"].to_numpy()
     parts = []
-    for running in [ANY_OTHER_GRADE, *all_grades]:
-        score = base + GRADE_HIT * (grades == running)
-        best = np.argmax(score, axis=1)
-        value = score[np.arange(len(batch)), best]
-        good = value >= MIN_HIT
-        parts.append(
-            pd.DataFrame(
-                {
-                    "_page": batch["_page"].to_numpy()[good],
-                    "running_grade": running,
-                    "ord": ords[best[good]],
-                    "score": value[good].astype(int),
-                }
+    for part in slices(batch, max(len(phrases), len(nodes))):
+        base = _found_in(part["_text"], phrases) @ weights
+        base[part["subject_code"].str.lower().to_numpy()[:, None] != subjects] = -np.inf
+        for running in [ANY_OTHER_GRADE, *all_grades]:
+            score = base + GRADE_HIT * (grades == running)
+            best = np.argmax(score, axis=1)
+            value = score[np.arange(len(part)), best]
+            good = value >= MIN_HIT
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "_page": part["_page"].to_numpy()[good],
+                        "running_grade": running,
+                        "ord": ords[best[good]],
+                        "score": value[good].astype(int),
+                    }
+                )
             )
-        )
     return pd.concat(parts, ignore_index=True)
 
 
@@ -614,7 +612,7 @@ def match_nodes(pages: DataFrame, nodes: DataFrame, **limits: int) -> DataFrame:
         return _match_pages(batch, held, all_grades)
 
     found, complete = score_blocks(
-        p, n, "_page", "ord", match, schema, width, **limits
+        p, n, "_page", "ord", match, schema, width, **(NODE_LIMITS | limits)
     )
     if complete:
         return found

@@ -175,8 +175,10 @@ def test_exemplar_paths_agree_with_plain_ratio(spark):
         assert rows(got, "question_id", "exemplar_id", "text_match_ratio") == sorted(want, key=repr)
 
 
-def test_attach_dimension_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [blocks.BROADCAST_BYTES, 0])
+def test_attach_dimension_in_blocks(spark, monkeypatch, limit):
     monkeypatch.setattr(blocks, "DIMENSION_BLOCK", 3)
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", limit)
     keys = spark.range(4).withColumnRenamed("id", "k")
     dimension = spark.range(10).withColumnRenamed("id", "v")
     got = blocks.attach_dimension(keys, dimension, "all").select("k", F.explode("all.v").alias("v"))
