@@ -241,5 +241,10 @@ def stats(catalog: DataFrame, chunks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_chunks"),
         F.count_if(F.coalesce("is_current", F.lit(False))).alias("active_chunks"),
     )
-    one = F.lit(1).alias("_one")
-    return documents.select("*", one).join(parts.select("*", one), "_one").drop("_one")
+    names = documents.columns + parts.columns
+    none = F.lit(None).cast("bigint")
+    both = stacked(
+        documents.select("*", *[none.alias(c) for c in parts.columns]),
+        parts.select("*", *[none.alias(c) for c in documents.columns]),
+    )
+    return both.agg(*[F.max(c).alias(c) for c in names])
