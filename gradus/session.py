@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -26,25 +27,38 @@ def local_session(app: str = "gradus", cpus: int | str = 8) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all machines of a cluster share.
+
+    A session on one machine may leave it unset and gets a temporary folder. On a cluster that is
+    an error: what an executor wrote to its own disk would be missing elsewhere.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        named = _own_folder(spark.sparkContext.applicationId)
+    return named
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder on the shared storage that ``spark.checkpoint.dir`` names (see below)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-        prefix="spark-", dir="/tmp"
-    )
-    return f"{named}/gradus-{uuid.uuid4().hex}"
+    """A fresh folder on the shared storage."""
+    return f"{shared_folder(spark)}/gradus-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage on shared storage, so that a lost executor never costs the cut result.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is
-    unset (tests on one machine) is a temporary folder used.
+    The folder is ``shared_folder``.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

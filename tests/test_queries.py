@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from gradus import plans
 from tools.check import compare, connect
 
 BASE = "/root/testdata/sf0.001"
@@ -17,7 +18,10 @@ def duck():
     return connect(BASE)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+plans.load_all()
+
+
+@pytest.mark.parametrize("name", list(plans.QUERIES))
 def test_query(spark, duck, name):
     text, ok = compare(spark, duck, BASE, name)
     assert ok, text
