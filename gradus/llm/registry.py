@@ -29,6 +29,7 @@ def read(spark: SparkSession, base: str, table: str) -> DataFrame:
 def _load() -> None:
     from gradus.llm import (  # noqa: F401
         bpe,
+        fingerprints,
         mixing,
         quality,
         token_counts,
