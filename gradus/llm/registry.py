@@ -30,6 +30,7 @@ def _load() -> None:
     from gradus.llm import (  # noqa: F401
         bpe,
         fingerprints,
+        language,
         mixing,
         quality,
         token_counts,
