@@ -31,6 +31,7 @@ def _load() -> None:
         bpe,
         fingerprints,
         language,
+        minmax,
         mixing,
         quality,
         token_counts,
