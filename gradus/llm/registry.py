@@ -32,6 +32,7 @@ def _load() -> None:
         fingerprints,
         language,
         minmax,
+        pii,
         mixing,
         quality,
         token_counts,
