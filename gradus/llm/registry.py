@@ -36,6 +36,7 @@ def _load() -> None:
         mixing,
         quality,
         token_counts,
+        wrappers,
     )
 
 
