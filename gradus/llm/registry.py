@@ -31,6 +31,7 @@ def _load() -> None:
         bpe,
         fingerprints,
         language,
+        lines,
         minmax,
         pii,
         mixing,
