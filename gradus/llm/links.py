@@ -52,12 +52,13 @@ def components(links: DataFrame) -> DataFrame:
     return named.unionByName(roots).select(F.col("u").alias("node"), "component")
 
 
-def pick(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is in the distinct, stored ``ids``.
+def pick(df: DataFrame, column: str, ids: DataFrame, others: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is, or with ``others`` is not, in the distinct, stored ``ids``.
 
     Few ids are broadcast, after they were counted, so that the rows stay where they are.
     """
-    only = ids.select(F.col(ids.columns[0]).alias("_picked"))
+    only = ids.select(F.struct(F.col(ids.columns[0]).alias("id")).alias("_picked"))
     if only.limit(PICK_LIMIT + 1).count() <= PICK_LIMIT:
         only = F.broadcast(only)
-    return df.join(only, F.col(column) == F.col("_picked"), "left_semi")
+    how = "left_anti" if others else "left_semi"
+    return df.join(only, F.col(f"`{column}`") == F.col("_picked.id"), how)

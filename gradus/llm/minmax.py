@@ -257,6 +257,15 @@ def near_duplicates(
     )
 
 
+def representatives(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The rows of ``df`` without the documents that are not kept, columns unchanged."""
+    found = near_duplicates(df, id_column, text_column)
+    dropped = checkpointed(found.where("NOT kept").select("doc_id").distinct())
+    return pick(df, id_column, dropped, others=True)
+
+
 @query("op2_minmax_dedup")
 def op2_minmax_dedup(spark: SparkSession, base: str) -> DataFrame:
     return near_duplicates(read(spark, base, "documents"))
