@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradus.llm.words import unused
 from gradus.session import checkpointed
 
 #: Ids that may be broadcast to pick rows by; beyond it both sides are shuffled.
@@ -57,8 +58,9 @@ def pick(df: DataFrame, column: str, ids: DataFrame, others: bool = False) -> Da
 
     Few ids are broadcast, after they were counted, so that the rows stay where they are.
     """
-    only = ids.select(F.struct(F.col(ids.columns[0]).alias("id")).alias("_picked"))
+    name = unused(df, "picked")
+    only = ids.select(F.struct(F.col(ids.columns[0]).alias("id")).alias(name))
     if only.limit(PICK_LIMIT + 1).count() <= PICK_LIMIT:
         only = F.broadcast(only)
     how = "left_anti" if others else "left_semi"
-    return df.join(only, F.col(f"`{column}`") == F.col("_picked.id"), how)
+    return df.join(only, F.col(f"`{column}`") == F.col(f"{name}.id"), how)

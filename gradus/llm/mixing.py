@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus.llm.registry import query, read
-from gradus.llm.words import word_count
+from gradus.llm.words import unused, word_count
 from gradus.session import checkpointed
 
 WEIGHTS = (5, 2, 1)
@@ -165,19 +165,19 @@ def mixed(df: DataFrame, **options) -> DataFrame:
     _, sources = plan(df, **options)
     id_column = options.get("id_column", "doc_id")
     source_column = options.get("source_column", "source")
-    columns = df.columns
+    name = unused(df, "mix")
     count = times(
         seeded(id_column, options.get("seed", SEED)),
-        F.col("_mix.whole"),
-        F.col("_mix.last"),
+        F.col(f"{name}.whole"),
+        F.col(f"{name}.last"),
         options.get("epochs", EPOCHS),
     )
-    packed = sources.select(F.struct("source", "whole", "last").alias("_mix"))
+    packed = sources.select(F.struct("source", "whole", "last").alias(name))
+    columns = [F.col(f"`{c}`") for c in df.columns]
     return (
-        df.join(packed, F.col(source_column).eqNullSafe(F.col("_mix.source")))
-        .withColumn("_times", count)
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in columns])
+        df.join(packed, F.col(f"`{source_column}`").eqNullSafe(F.col(f"{name}.source")))
+        .select(*columns, F.explode(F.array_repeat(F.lit(0), count.cast("int"))).alias(name))
+        .select(*columns)
     )
 
 

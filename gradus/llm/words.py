@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word of the operators' contracts: no blank and no ASCII control white space.
@@ -15,6 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 _LATIN_END = 0x250
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
