@@ -27,7 +27,6 @@ DEFAULTS = {
     "bookEdition": "Chân trời sáng tạo", "chapterName": "", "lessonName": "", "patternName": "",
     "sectionType": "THEORY", "hasDiagram": False, "dpiUsed": 56,
 }
-MAX_LISTED = 50
 
 
 def upsert_sources(sources: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -174,13 +173,13 @@ def _first_seen(chunks: DataFrame, column: str) -> DataFrame:
     )
 
 
-def source_summaries(sources: DataFrame, chunks: DataFrame, limit: int = MAX_LISTED) -> DataFrame:
-    """The newest sources with chunks: first chunk's identity, diagrams and names in order."""
-    listed = (
-        sources.where("total_chunks > 0")
-        .orderBy(F.col("updated_at").desc(), "source_id")
-        .limit(limit)
-    )
+def source_summaries(
+    sources: DataFrame, chunks: DataFrame, newest: int | None = None
+) -> DataFrame:
+    """Sources with chunks, all or the ``newest``: first chunk's identity, diagrams, names in order."""
+    listed = sources.where("total_chunks > 0")
+    if newest is not None:
+        listed = listed.orderBy(F.col("updated_at").desc(), "source_id").limit(newest)
     mine = chunks.join(listed.select("source_id"), "source_id", "left_semi")
     facts = mine.groupBy("source_id").agg(
         F.min_by(
@@ -212,7 +211,6 @@ def chunks_by_hash(sources: DataFrame, chunks: DataFrame, hashes: DataFrame) ->
     return (
         wanted.select("file_hash", "source_id")
         .join(chunks, "source_id")
-        .orderBy("file_hash", "page_number", "chunk_index")
     )
 
 

@@ -9,14 +9,10 @@ wrong_option, misconception_explanation, socratic_hint.
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.text import is_blank, is_uuid, strip
-from gradus.operators.blocks import score_blocks
 from gradus.operators.retrieval import vector_top_k
 from gradus.session import checkpointed, stacked
 
@@ -94,14 +90,21 @@ def match_form(text: Column) -> Column:
     return strip(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
+def word_overlap(a: Column, b: Column) -> Column:
+    """Distinct words that both texts have, over all that either has, to four places; 1 without words."""
+    x, y = (F.array_remove(F.array_distinct(F.split(t, " ")), "") for t in (a, b))
+    shared = F.size(F.array_intersect(x, y))
+    return F.round(F.coalesce(F.try_divide(shared, F.size(x) + F.size(y) - shared), F.lit(1.0)), 4)
+
+
 def nearest_exemplars(
-    questions: DataFrame, exemplars: DataFrame, keep: int = MAX_EXEMPLARS, **limits: int
+    questions: DataFrame, exemplars: DataFrame, keep: int = MAX_EXEMPLARS
 ) -> DataFrame:
-    """The anchor's exemplars with texts most like the question's, best first.
+    """The anchor's exemplars with texts most like the question's by ``word_overlap``, best first.
 
-    ``questions``: question_id, archetype_id, text. Similarity is the matching-block ratio of the
-    standard library. Exemplars that cannot reach the best few by an upper bound of that ratio are
-    not compared in full. Ties go to the older exemplar.
+    ``questions``: question_id, archetype_id, text. Questions meet the exemplars of their own
+    archetype only; hot archetypes are split as skewed join keys, and the rank filter lets map tasks
+    drop all but the best few of a question before the shuffle. Ties go to the older exemplar.
     """
     q = questions.where("archetype_id is not null").select(
         "question_id", "archetype_id", match_form(F.col("text")).alias("_q")
@@ -109,60 +112,17 @@ def nearest_exemplars(
     e = exemplars.select(
         "exemplar_id", "archetype_id", "created_at", match_form(F.col("question_latex")).alias("_e")
     )
-    types = {df.schema[c].name: df.schema[c].dataType.simpleString() for df, c in (
-        (q, "question_id"), (e, "exemplar_id"), (e, "created_at"))}
-    schema = (
-        f"question_id {types['question_id']}, exemplar_id {types['exemplar_id']}, "
-        f"created_at {types['created_at']}, text_match_ratio double"
-    )
-
-    def compare(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        groups = {
-            key: group.sort_values(["created_at", "exemplar_id"])
-            for key, group in held.groupby("archetype_id")
-        }
-        rows = []
-        for archetype, questions_here in batch.groupby("archetype_id"):
-            if archetype not in groups:
-                continue
-            best: dict = {key: [] for key in questions_here["question_id"]}
-            matcher = difflib.SequenceMatcher()
-            for exemplar in groups[archetype].itertuples(index=False):
-                matcher.set_seq2(exemplar[3])
-                for key, text in zip(questions_here["question_id"], questions_here["_q"]):
-                    matcher.set_seq1(text)
-                    top = best[key]
-                    floor = top[-1][0] if len(top) == keep else -1.0
-                    if round(matcher.quick_ratio(), 4) <= floor:
-                        continue
-                    ratio = round(matcher.ratio(), 4)
-                    if ratio > floor:
-                        top.append((ratio, exemplar[0], exemplar[2]))
-                        top.sort(key=lambda x: -x[0])
-                        del top[keep:]
-            rows += [
-                (key, name, made, ratio) for key, top in best.items() for ratio, name, made in top
-            ]
-        return pd.DataFrame(
-            rows, columns=["question_id", "exemplar_id", "created_at", "text_match_ratio"]
-        )
-
-    found, _ = score_blocks(
-        q, e, "question_id", "exemplar_id", compare, schema, F.length("_e") * 4 + 200, **limits
+    pairs = q.join(e, "archetype_id").select(
+        "question_id", "exemplar_id", "created_at",
+        word_overlap(F.col("_q"), F.col("_e")).alias("text_match_ratio"),
     )
     order = Window.partitionBy("question_id").orderBy(
         F.col("text_match_ratio").desc(), "created_at", "exemplar_id"
     )
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
     return ranked.drop("created_at")
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    """A native measure in its own right, not a stand-in for the matching-block ratio."""
-    longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).otherwise(F.lit(1.0) - F.levenshtein(a, b) / longer)
-
-
 def _letter(option: Column) -> Column:
     return F.upper(strip(F.coalesce(option, F.lit(""))))
 

@@ -16,7 +16,6 @@ DEFAULT_TOP_K = 4
 KEYWORD_TOP_K = 3
 EMPTY_QUERY_SCORE = 0.5
 CITATION_CHARS = 250
-PAGE_TEXT_CHARS = 180_000
 
 
 def _ranked(found: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
@@ -79,6 +78,9 @@ def active_chunk_search(
 def _word_hits(texts: pd.Series, words: list[str]) -> np.ndarray:
     """Which words occur, anywhere, in each text (rows) - one pass over a text for all words."""
     hits = np.zeros((len(texts), len(words)), dtype=np.float64)
+    texts = texts.fillna("")
+    if not words:
+        return hits
     try:
         import ahocorasick
     except ImportError:
@@ -158,13 +160,12 @@ def citations(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(sources, "chunk_id")
 
 
-def page_range_text(
-    chunks: DataFrame, requests: DataFrame, max_chars: int = PAGE_TEXT_CHARS
-) -> DataFrame:
-    """Text of a range of pages of a source, a header line before each chunk.
+def page_range_text(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """Text of a range of pages of a source, as rows in order: nothing is cut or brought together.
 
     ``requests``: request_id, source_id, start_page, end_page. ``chunks`` need a chunk_index that is
-    unique and rising in a source. Text ends with the chunk that passes ``max_chars``.
+    unique and rising in a source. A row is a chunk under its header line, with the number of
+    characters of the request's text up to and including it, by which a reader may stop.
     """
     header = F.format_string(
         "--- Trang %d [%s | %s | %s] ---",
@@ -173,19 +174,13 @@ def page_range_text(
     wanted = (
         chunks.join(requests, "source_id")
         .where(F.col("page_number").between(F.col("start_page"), F.col("end_page")))
-        .withColumn("_part", F.concat(header, F.lit("\n"), "text", F.lit("\n")))
-        .withColumn("_length", F.length("_part"))
+        .withColumn("part", F.concat(header, F.lit("\n"), "text", F.lit("\n")))
     )
     sized = running_sum(
         wanted,
         ["request_id"],
         [F.col("chunk_index")],
         bucket_of(F.col("chunk_index")),
-        {"_so_far": F.col("_length")},
-    )
-    kept = sized.where(F.col("_so_far") - F.col("_length") <= max_chars)
-    in_order = F.sort_array(F.collect_list(F.struct("chunk_index", "_part")))
-    return kept.groupBy("request_id").agg(
-        F.array_join(F.transform(in_order, lambda p: p["_part"]), "").alias("text"),
-        F.count(F.lit(1)).alias("chunks"),
+        {"chars_so_far": F.length("part")},
     )
+    return sized.select("request_id", "chunk_index", "part", "chars_so_far")

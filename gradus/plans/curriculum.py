@@ -218,7 +218,7 @@ _NAMES = "\n".join(
 @query(
     "source_summaries",
     f"""WITH {_SOURCES}, {_CHUNKS},
-listed AS (SELECT * FROM sources WHERE total_chunks > 0 ORDER BY updated_at DESC, source_id LIMIT 50)
+listed AS (SELECT * FROM sources WHERE total_chunks > 0)
 SELECT source_id, title, total_pages, subject_code, grade, total_diagrams, chapters, lessons, patterns FROM listed
 LEFT JOIN (SELECT source_id, arg_min(subject_code, struct_pack(p := page_number, i := chunk_index)) AS subject_code,
                   arg_min(grade, struct_pack(p := page_number, i := chunk_index)) AS grade,

@@ -98,12 +98,34 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("nearest_exemplars")
-def nearest_exemplars(spark: SparkSession, d: str) -> DataFrame:
-    return ops.nearest_exemplars(_asked(spark, d), views.exemplars(spark, d))
+_MATCH = """trim(regexp_replace(regexp_replace(lower({}), '[$\\\\{{}}]', '', 'g'), '\\s+', ' ', 'g'))"""
 
 
-_MATCH = """trim(regexp_replace(regexp_replace(lower({}), '[$\\\\{{}}]', '', 'g'), '\\s+', ' ', 'g'))"""
+def _overlap(a: str, b: str) -> str:
+    """Word overlap of two texts in match form, to four places."""
+    x, y = (
+        f"list_filter(list_distinct(string_split({_MATCH.format(t)}, ' ')), lambda w: w <> '')"
+        for t in (a, b)
+    )
+    shared = f"len(list_intersect({x}, {y}))"
+    whole = f"(len({x}) + len({y}) - {shared})"
+    return f"round(CASE WHEN {whole} = 0 THEN 1 ELSE {shared} / {whole} END, 4)"
+
+
+@query(
+    "nearest_exemplars",
+    f"""WITH {views.CENTROIDS}, {views.ASKS}, {views.EXEMPLARS},
+archetypes AS (SELECT * REPLACE (md5('skill' || skill_id) AS skill_id) FROM centroids),
+{_anchor_sql('asks', 'archetypes')},
+pairs AS (
+  SELECT question_id, exemplar_id, created_at, {_overlap('a.text', 'e.question_latex')} AS text_match_ratio
+  FROM asks a JOIN grounded USING (question_id) JOIN exemplars e USING (archetype_id))
+SELECT question_id, exemplar_id, text_match_ratio, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id
+    ORDER BY text_match_ratio DESC, created_at, exemplar_id) AS rank FROM pairs) WHERE rank <= 2""",
+)
+def nearest_exemplars(spark: SparkSession, d: str) -> DataFrame:
+    return ops.nearest_exemplars(_asked(spark, d), views.exemplars(spark, d))
 
 
 @query(
@@ -116,11 +138,6 @@ def match_form(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _alike(a: str, b: str) -> str:
-    """SQL has no matching-block ratio. Texts here are near copies or unlike, so this agrees."""
-    return f"levenshtein({a}, {b}) <= 0.15 * greatest(length({a}), length({b}))"
-
-
 _GRAPH = f"""{views.CENTROIDS}, {views.ASKS}, {views.EXEMPLARS}, {views.TRAPS},
 {views.CONTENT_QUESTIONS}, {views.MATERIALS},
 archetypes AS (SELECT * REPLACE (md5('skill' || skill_id) AS skill_id) FROM centroids),
@@ -169,7 +186,7 @@ found AS (
   SELECT o.question_id, selected_option, correct_option, g.archetype_id, g.status, g.scope, g.similarity,
          r.pattern_code, r.pattern_name, r.core_theorems,
          EXISTS (SELECT 1 FROM exemplars e WHERE e.archetype_id = g.archetype_id
-                 AND {_alike(_MATCH.format('e.question_latex'), _MATCH.format('o.text'))})
+                 AND {_overlap('o.text', 'e.question_latex')} >= 0.9)
   FROM others o JOIN grounded g USING (question_id) LEFT JOIN archetypes r USING (archetype_id)),
 resolved AS (
   SELECT f.*, n AS traps, t.tr AS trap,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.operators import chunking
@@ -17,6 +17,46 @@ def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.recursive_chunks(table(spark, d, "documents"), "doc_id")
 
 
+@query(
+    "recursive_chunk_properties",
+    r"""WITH d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS bare FROM documents)
+SELECT doc_id, length(bare) AS text_chars, true AS in_size, true AS in_text, true AS in_order,
+       true AS all_covered, true AS in_overlap
+FROM d WHERE bare <> ''""",
+)
+def recursive_chunk_properties(spark: SparkSession, d: str) -> DataFrame:
+    """What every text's chunks must fulfil, measured on each: their size, that they stand in the
+    text, begin and end with it, hold all of its characters and repeat no more than the overlap."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    chunks = chunking.recursive_chunks(docs, "doc_id")
+
+    def bare(text: Column) -> Column:
+        return F.length(F.regexp_replace(text, r"\s+", ""))
+
+    whole = F.regexp_replace("text", r"^\s+|\s+$", "")
+    each = chunks.join(docs, "doc_id")
+    return (
+        each.groupBy("doc_id")
+        .agg(
+            F.max(bare(F.col("text"))).cast("bigint").alias("text_chars"),
+            F.bool_and(F.col("char_count") <= chunking.CHUNK_SIZE).alias("in_size"),
+            F.bool_and(F.contains("text", "content")).alias("in_text"),
+            F.bool_and(
+                (F.col("chunk_index") > 0) | F.startswith(whole, F.col("content"))
+            ).alias("in_order"),
+            F.sum(bare(F.col("content"))).alias("_held"),
+            F.count(F.lit(1)).alias("_chunks"),
+        )
+        .select(
+            "doc_id", "text_chars", "in_size", "in_text", "in_order",
+            (F.col("_held") >= F.col("text_chars")).alias("all_covered"),
+            (
+                F.col("_held") <= F.col("text_chars") + chunking.CHUNK_OVERLAP * (F.col("_chunks") - 1)
+            ).alias("in_overlap"),
+        )
+    )
+
+
 _PARAGRAPHS = """paragraphs AS (
   SELECT doc_id, i AS chunk_index, doc_id || '_chunk_' || i AS chunk_id,
          regexp_replace(parts[i], '^\\s+|\\s+$', '', 'g') AS content
@@ -114,8 +154,7 @@ parts AS (
          || page_number % 5 || ' | P' || page_number % 4 || '] ---' || chr(10) || text || chr(10) AS part
   FROM book_pages WHERE page_number BETWEEN 2 AND 1000000),
 sized AS (SELECT *, sum(length(part)) OVER (PARTITION BY source_id ORDER BY chunk_index) AS so_far FROM parts)
-SELECT source_id AS request_id, string_agg(part, '' ORDER BY chunk_index) AS text, count(*) AS chunks
-FROM sized WHERE so_far - length(part) <= 20000 GROUP BY source_id""",
+SELECT source_id AS request_id, chunk_index, part, CAST(so_far AS BIGINT) AS chars_so_far FROM sized""",
 )
 def page_range_text(spark: SparkSession, d: str) -> DataFrame:
     pages = views.book_pages(spark, d).select(
@@ -133,4 +172,4 @@ def page_range_text(spark: SparkSession, d: str) -> DataFrame:
         F.lit(2).alias("start_page"),
         F.lit(1_000_000).alias("end_page"),
     )
-    return ops.page_range_text(pages, wanted, max_chars=20_000)
+    return ops.page_range_text(pages, wanted)

@@ -52,11 +52,11 @@ def test_match_form(spark):
     assert graph.nearest_exemplars(q, e).first()["text_match_ratio"] == 1.0
 
 
-def test_edit_similarity(spark):
+def test_word_overlap(spark):
     got = spark.range(1).select(
-        graph.edit_similarity(F.lit("abcd"), F.lit("abxd")), graph.edit_similarity(F.lit(""), F.lit(""))
+        graph.word_overlap(F.lit("a b c a"), F.lit("b c d")), graph.word_overlap(F.lit(""), F.lit(""))
     ).first()
-    assert tuple(got) == (0.75, 1.0)
+    assert tuple(got) == (0.5, 1.0)
 
 
 def questions(spark):

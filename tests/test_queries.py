@@ -21,7 +21,7 @@ def duck():
 plans.load_all()
 
 
-@pytest.mark.parametrize("name", list(plans.QUERIES))
+@pytest.mark.parametrize("name", list(plans.ORACLES))
 def test_query(spark, duck, name):
     text, ok = compare(spark, duck, BASE, name)
     assert ok, text
