@@ -4,8 +4,9 @@ A document is the set of its distinct five-word shingles. Each of ``PERMUTATIONS
 evaluated once for each shingle, and both its minimum and its maximum over the set are kept, either
 of which two sets share with probability equal to their Jaccard similarity. Bands of ``ROWS`` minima,
 or of ``ROWS`` maxima, of different functions are bucketed: sets of similarity 0.75 share none of the
-52 bands with probability 8e-7, and every pair of a bucket that could still matter is confirmed on
-the full sets.
+52 bands with probability 8e-7. Of pairs that share one, an exact bound rules out nearly all that are
+not similar: in a parity map of 2,048 bits each shingle that only one set has changes one bit, so maps
+differ in no more bits than sets in shingles. The others are confirmed on the full sets.
 
 Documents of equal sets are one class, found by a digest. In each bucket the classes are compared
 with its least one first; then only pairs of a bucket whose classes these links have left in
@@ -33,7 +34,9 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 PERMUTATIONS, ROWS = 130, 5
 #: Words whose hashes a worker remembers; beyond it starts anew.
-MEMORY = 1_000_000
+MEMORY = 300_000
+#: 64-bit parts of a set's parity map.
+PARTS = 32
 #: Shingles hashed at once.
 BLOCK = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -98,13 +101,27 @@ def bands(signs: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    counts = np.bincount((found & np.uint64(64 * PARTS - 1)).astype(np.int64), minlength=64 * PARTS)
+    return np.packbits(counts & 1).view(np.int64)
+
+
+def near_enough(x: str, y: str):
+    """The exact bounds on two sets' sizes and parity maps."""
+    changed = " + ".join(f"bit_count({x}.bits[{k}] ^ {y}.bits[{k}])" for k in range(PARTS))
+    return F.expr(
+        f"least({x}.n, {y}.n) * {DENOMINATOR} >= greatest({x}.n, {y}.n) * {NUMERATOR}"
+        f" AND ({changed}) * {DENOMINATOR + NUMERATOR} <= ({x}.n + {y}.n) * {DENOMINATOR - NUMERATOR}"
+    )
+
+
 def _functions():
     seeds = _seeds(PERMUTATIONS)
     return seeds[:PERMUTATIONS] | np.uint64(1), seeds[PERMUTATIONS:]
 
 
 def sketched(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, keys of its bands)."""
+    """(doc_id, n_shingles, digest of the set, keys of its bands, its parity map)."""
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     docs = df.select(F.col(f"`{id_column}`").alias("doc_id"), text.alias("text"))
     id_sql = docs.schema["doc_id"].dataType.simpleString()
@@ -116,27 +133,30 @@ def sketched(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
         multipliers, offsets = _functions()
         for batch in batches:
             for part in slices(batch):
-                sizes, digests, keys = [], [], []
+                sizes, digests, keys, bits = [], [], [], []
                 for text in part.column(1).to_pylist():
                     found = shingles(text, hashes)
                     sizes.append(len(found))
                     if len(found):
                         digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                         keys.append(bands(signature(found, multipliers, offsets)))
+                        bits.append(parity(found))
                     else:
                         digests.append(None)
                         keys.append(None)
+                        bits.append(None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array(sizes, pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(bits, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "keys"],
+                    names=["doc_id", "n_shingles", "digest", "keys", "bits"],
                 )
 
-    schema = f"doc_id {id_sql}, n_shingles bigint, digest binary, keys array<bigint>"
+    schema = f"doc_id {id_sql}, n_shingles bigint, digest binary, keys array<bigint>, bits array<bigint>"
     return docs.mapInArrow(tasks, schema)
 
 
@@ -197,38 +217,44 @@ def classes_and_links(df: DataFrame, id_column: str = "doc_id", text_column: str
     classes = checkpointed(
         rows.where("digest IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.max("n_shingles").alias("n"),
+            F.first("keys").alias("keys"),
+            F.first("bits").alias("bits"),
+        )
     )
-    members = classes.select("rep", "n", F.explode("keys").alias("key"))
+    sets = classes.select("rep", "n", "bits")
+    members = classes.select("rep", F.explode("keys").alias("key"))
     # Buckets with one class alone, nearly all, end here.
     leaders = members.groupBy("key").agg(
-        F.min(F.struct("rep", "n")).alias("first"), F.count(F.lit(1)).alias("size")
+        F.min("rep").alias("first"), F.count(F.lit(1)).alias("size")
     )
     shared = checkpointed(members.join(leaders.where("size > 1"), "key").drop("size"))
-    alike = f"least(%s, %s) * {DENOMINATOR} >= greatest(%s, %s) * {NUMERATOR}"
-    stars = checkpointed(
-        shared.where("rep <> first.rep")
-        .where(alike % ("n", "first.n", "n", "first.n"))
-        .select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))
-        .distinct()
+    stars = shared.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    near_stars = (
+        stars.distinct()
+        .join(sets.alias("x"), F.col("a") == F.col("x.rep"))
+        .join(sets.alias("y"), (F.col("b") == F.col("y.rep")) & near_enough("x", "y"))
+        .select("a", "b")
     )
-    star_links = checkpointed(confirmed(docs, stars))
+    star_links = checkpointed(confirmed(docs, checkpointed(near_stars)))
     found = components(star_links)
     named = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("component"), "first"
+        "key", "rep", F.coalesce("component", "rep").alias("component"), "first"
     )
     # A bucket whose classes are in one component has nothing more to say.
     open_keys = named.groupBy("key").agg(
         F.min("component").alias("_low"), F.max("component").alias("_high")
     ).where("_low <> _high")
-    rest = checkpointed(named.join(open_keys.select("key"), "key"))
+    rest = named.join(open_keys.select("key"), "key").join(sets, "rep")
     x, y = rest.alias("x"), rest.alias("y")
     more = (
         x.join(
             y,
             F.expr("x.key = y.key AND x.rep < y.rep AND x.component <> y.component")
-            & F.expr("x.rep <> x.first.rep")
-            & F.expr(alike % ("x.n", "y.n", "x.n", "y.n")),
+            & F.expr("x.rep <> x.first")
+            & near_enough("x", "y"),
         )
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
