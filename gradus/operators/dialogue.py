@@ -16,7 +16,7 @@ from gradus.functions.text import contains_any, is_blank, mentions, normalised,
 from gradus.operators.ordered import bucket_of, dense_index, preceding_rows
 
 # History limits, tests for a foreign problem, role names.
-HISTORY_TURNS, HISTORY_CHARS = 6, 500
+HISTORY_TURNS = 6
 PROBLEM_CHARS, MATH_SIGNS, MAX_OVERLAP = 25, 3, 0.2
 MATH_SIGN = r"(?U)[=^\\$∫≤≥√π]|\d"
 TUTOR_ROLES = ["tutor", "ai", "assistant", "model"]
@@ -39,19 +39,20 @@ def speaker(role: Column) -> Column:
 
 
 def with_history(
-    turns: DataFrame, count: int = HISTORY_TURNS, chars: int = HISTORY_CHARS
+    turns: DataFrame, count: int = HISTORY_TURNS, chars: int | None = None
 ) -> DataFrame:
     """Adds ``history``: the last turns that are not blank before each, oldest first.
 
-    Blank turns drop out. A conversation of any length is split over tasks.
+    Blank turns drop out. Turns are whole unless ``chars`` says how much of each to show. A
+    conversation of any length is split over tasks.
     """
     said = turns.where(~is_blank(F.col("text")))
     bucket = bucket_of(F.col("turn"))
     placed = dense_index(said, ["conv_id"], [F.col("turn")], bucket, "_index")
-    item = F.struct(
-        speaker(F.col("role")).alias("role"),
-        F.substring(strip(F.col("text")), 1, chars).alias("text"),
-    )
+    text = strip(F.col("text"))
+    if chars is not None:
+        text = F.substring(text, 1, chars)
+    item = F.struct(speaker(F.col("role")).alias("role"), text.alias("text"))
     return preceding_rows(placed, ["conv_id"], "_index", count, item, "history").drop("_index")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.functions.text import contains_any, strip
+from gradus.operators.ordered import bucket_of, dense_index
 
 # Size limits, domains by words of a prompt (first match counts), names.
-MIN_QUESTIONS, MAX_QUESTIONS = 5, 50
+MIN_QUESTIONS = 5
 LETTERS = "ABCD"
 BLOOM_LEVELS = range(1, 7)
 ALL = "ALL"
@@ -46,13 +47,13 @@ def requested_domain(domain: Column, prompt: Column) -> Column:
     return F.when(asked == ALL, F.coalesce(spoken, F.lit(ALL))).otherwise(asked)
 
 
-def assemble(requests: DataFrame, bank: DataFrame) -> DataFrame:
+def assemble(requests: DataFrame, bank: DataFrame, most: int | None = None) -> DataFrame:
     """Rows (request_id, position from 1, item_id).
 
     ``requests``: request_id, domain_id, bloom_level, question_count, prompt. ``bank``: item_id
     (order of the bank), domain_id, bloom. A pool is what is left after domain and Bloom level, each
-    ignored if it would leave nothing; position i takes the pool's item i modulo its size. No exam
-    has more than fifty questions, so the head of each pool is all that is ever drawn from.
+    ignored if it would leave nothing; position i takes the pool's item i modulo its size. ``item_id``
+    is an integer. Requests may be limited to ``most`` questions; pools are whole.
     """
     member = bank.select(
         "item_id",
@@ -61,16 +62,12 @@ def assemble(requests: DataFrame, bank: DataFrame) -> DataFrame:
     ).withColumn("_bloom", F.explode(F.array(F.col("bloom"), F.lit(0))))
     pool = ["_domain", "_bloom"]
     sizes = member.groupBy(*pool).agg(F.count(F.lit(1)).alias("_size"))
-    in_order = Window.partitionBy(*pool).orderBy("item_id")
-    heads = (
-        member.withColumn("_index", F.row_number().over(in_order))
-        .where(F.col("_index") <= MAX_QUESTIONS)
-        .select(*pool, (F.col("_index") - 1).alias("_index"), "item_id")
-    )
+    places = dense_index(member, pool, [F.col("item_id")], bucket_of(F.col("item_id")), "_index")
+    places = places.select(*pool, "_index", "item_id")
     level = F.when(F.col("bloom_level").between(1, 6), F.col("bloom_level")).otherwise(0)
-    count = F.least(
-        F.lit(MAX_QUESTIONS), F.greatest(F.lit(MIN_QUESTIONS), F.col("question_count"))
-    )
+    count = F.greatest(F.lit(MIN_QUESTIONS), F.col("question_count"))
+    if most is not None:
+        count = F.least(F.lit(most), count)
     rows = requests.select(
         "request_id",
         requested_domain(F.col("domain_id"), F.col("prompt")).alias("_asked"),
@@ -90,9 +87,9 @@ def assemble(requests: DataFrame, bank: DataFrame) -> DataFrame:
     drawn = (
         rows.join(sizes, pool)
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-        .withColumn("_index", F.pmod(F.col("_i"), F.col("_size")).cast("int"))
+        .withColumn("_index", F.pmod(F.col("_i"), F.col("_size")))
     )
-    return drawn.join(heads, [*pool, "_index"]).select(
+    return drawn.join(places, [*pool, "_index"]).select(
         "request_id", (F.col("_i") + 1).alias("position"), "item_id"
     )
 

@@ -23,6 +23,7 @@ MIN_ITEMS_DOMAIN = 3
 MIN_ITEMS_SKILL = 2
 SINGLE_ITEM_SHIFT = 0.3
 WEAK_BELOW_PCT = 60.0
+DEFAULT_TARGET = 800
 
 
 def item_parameters(responses: DataFrame, model: irt.ItemModel = DEFAULT_MODEL) -> DataFrame:
@@ -211,10 +212,14 @@ def skills_in_many_domains(responses: DataFrame) -> DataFrame:
     )
 
 
-def radar_axes(domains: DataFrame, targets: DataFrame) -> DataFrame:
-    """Axis per domain: own accuracy against the share of the full mark the student aims at."""
-    benchmark = F.bround(F.col("target_score") / F.lit(irt.EXAM_MAX_SCORE) * 100.0, 2)
-    return domains.join(targets.select("student_id", "target_score"), "student_id").select(
+def radar_axes(
+    domains: DataFrame, targets: DataFrame, default_target: int = DEFAULT_TARGET
+) -> DataFrame:
+    """Axis per domain: own accuracy against the share of the full mark the student aims at, or of
+    ``default_target`` where none is known."""
+    target = F.coalesce("target_score", F.lit(default_target))
+    benchmark = F.bround(target / F.lit(irt.EXAM_MAX_SCORE) * 100.0, 2)
+    return domains.join(targets.select("student_id", "target_score"), "student_id", "left").select(
         *SUBMISSION,
         "domain_id",
         "domain_name",

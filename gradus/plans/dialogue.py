@@ -50,7 +50,7 @@ _WORD = "[\\p{L}\\p{N}\\p{Mn}_]+"
 _HISTORY = f"""said AS (SELECT * FROM conversations WHERE {views.STRIP.format('text')} <> ''),
 turns AS (
   SELECT *, array_agg(CASE WHEN lower(role) IN ('tutor', 'ai', 'assistant', 'model') THEN 'tutor' ELSE 'student' END
-                      || ':' || substr({views.STRIP.format('text')}, 1, 500)) OVER (
+                      || ':' || {views.STRIP.format('text')}) OVER (
            PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS history FROM said)"""
 
 

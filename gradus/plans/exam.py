@@ -455,7 +455,7 @@ _BANK = """bank AS (
          substr('ABCD', p_size % 4 + 1, 1) AS correct FROM part),
 requests AS (
   SELECT c_custkey AS request_id, CAST(c_custkey % 8 AS INTEGER) AS level,
-         CAST(least(50, greatest(5, c_custkey % 60)) AS INTEGER) AS n,
+         CAST(greatest(5, c_custkey % 60) AS INTEGER) AS n,
          CASE WHEN c_custkey % 3 = 0 THEN ['dom_math', 'dom_lang', 'dom_logic', 'dom_nat_sci'][c_custkey % 4 + 1]
               ELSE ['dom_math', 'dom_soc_sci', 'ALL', 'dom_lang'][c_custkey % 4 + 1] END AS asked
   FROM customer),

@@ -206,8 +206,8 @@ def skill_priors_inferred(spark: SparkSession, d: str) -> DataFrame:
 SELECT student_id, submission_id, domain_id,
        coalesce(any_value(domain_name), CAST(domain_id AS VARCHAR)) AS domain_name,
        round_even(100.0::DOUBLE * (count(*) FILTER (is_correct) / count(*)), 2) AS student_pct,
-       round_even(any_value(target_score) / 1200 * 100.0::DOUBLE, 2) AS benchmark_pct
-FROM responses LEFT JOIN domain_names USING (domain_id) JOIN targets USING (student_id)
+       round_even(coalesce(any_value(target_score), 800) / 1200 * 100.0::DOUBLE, 2) AS benchmark_pct
+FROM responses LEFT JOIN domain_names USING (domain_id) LEFT JOIN targets USING (student_id)
 GROUP BY student_id, submission_id, domain_id""",
 )
 def radar_axes(spark: SparkSession, d: str) -> DataFrame:

@@ -189,5 +189,6 @@ def test_assembly(spark):
         got.setdefault(r["request_id"], []).append(r["item_id"])
     assert got[1] == [0, 1, 2, 0, 1]
     assert got[2] == [3] * 6
-    assert got[3] == [i % 5 for i in range(50)]
+    assert got[3] == [i % 5 for i in range(99)]
+    assert item_bank.assemble(requests, bank, most=50).where("request_id = 3").count() == 50
     assert got[4] == [0, 1, 2, 0, 1]
