@@ -99,7 +99,9 @@ def test_history(spark):
     got = {r["turn"]: r["history"] for r in ops.with_history(turns).collect()}
     assert 3 not in got and got[0] == []
     assert [h["text"][:2] for h in got[9]] == ["t2", "t4", "t5", "t6", "t7", "t8"]
-    assert got[9][1]["role"] == "student" and len(got[9][0]["text"]) == 500
+    assert got[9][1]["role"] == "student" and len(got[9][0]["text"]) == 600
+    short = {r["turn"]: r["history"] for r in ops.with_history(turns, chars=500).collect()}
+    assert len(short[9][0]["text"]) == 500
 
 
 def test_prompt_rendering(spark):
