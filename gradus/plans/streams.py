@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions.markers import Markers
-from gradus.plans import query
+from gradus.plans import query, views
+from gradus.plans.novelty import _DETECT, THRESHOLD
 from gradus.plans.psychometrics import _golden
 from gradus.session import scratch_folder
+from gradus.sources.snapshots import SnapshotStore
 from gradus.sources.tables import table
 from gradus.streaming import jobs
 
@@ -114,3 +116,40 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(
         "conv_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "turns"
     )
+
+
+@query(
+    "stream_novelty_staging",
+    f"""WITH {_DETECT},
+texts AS (
+  SELECT question_text, md5('proposal#' || question_text) < '8' AS decided,
+         bool_or(question_id % 3 < 2) AS early, bool_or(question_id % 3 = 2) AS late
+  FROM detected WHERE status = 'NOVEL_PATTERN_CANDIDATE' GROUP BY question_text)
+SELECT question_text, CAST(early AS BIGINT) + CAST(late AND (NOT early OR decided) AS BIGINT) AS proposals
+FROM texts""",
+)
+def stream_novelty_staging(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches, a restart that replays nothing, and a review before the last batch."""
+    folder = scratch_folder(spark)
+    store = SnapshotStore(spark, f"{folder}/store")
+    questions = views.novelty_questions(spark, d)
+    archetypes = views.centroids(spark, d)
+
+    def run() -> None:
+        stream = jobs.file_stream(spark, f"{folder}/in", questions.schema)
+        writer = jobs.novelty_staging(stream, archetypes, store, f"{folder}/state", THRESHOLD)
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    for part in range(3):
+        own = questions.where(F.col("question_id") % 3 == part)
+        own.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if part == 2:
+            decided = store.appended("proposals", jobs.PROPOSALS).where("id < '8'")
+            store.publish({"reviews": decided.select("id")})
+        run()
+        run()
+    return (
+        store.appended("proposals", jobs.PROPOSALS)
+        .groupBy(F.col("raw_question_latex").alias("question_text"))
+        .agg(F.countDistinct("id").alias("proposals"))
+    )

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from gradus.functions import irt
 from gradus.functions.markers import Markers
+from gradus.functions.text import stable_id
 from gradus.operators import catalog, dialogue, novelty, psychometrics
 from gradus.sources.snapshots import SnapshotStore
 
@@ -18,11 +20,12 @@ PROPOSALS = (
     "extracted_metadata string, max_similarity_score double, nearest_archetype_id string, "
     "status string, academic_feedback string, created_at timestamp_ntz"
 )
+REVIEWS = "id string"
 WATERMARK = "10 minutes"
 
 
 def file_stream(
-    spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_trigger: int = 1000
+    spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet", files_per_trigger: int = 1000
 ) -> DataFrame:
     return (
         spark.readStream.schema(schema)
@@ -90,14 +93,22 @@ def novelty_staging(
     checkpoint: str,
     threshold: float = novelty.THRESHOLD,
 ) -> DataStreamWriter:
-    """Novel questions of each batch are appended as proposals, once per text over all batches."""
+    """Novel questions of each batch are appended as proposals, once per text that is pending.
+
+    The store's ``reviews`` table names the proposals that were decided. Their texts are no longer
+    pending: met again, they are proposed anew under an id of their own.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         earlier = store.appended("proposals", PROPOSALS, before=number)
+        reviewed = store.read("reviews", REVIEWS).select("id").distinct()
         good, _ = novelty.with_text(batch)
         found = novelty.detect(good, archetypes, threshold)
-        _, fresh = novelty.stage(found, earlier)
-        store.append("proposals", fresh, number)
+        _, fresh = novelty.stage(found, earlier.join(reviewed, "id", "left_anti"))
+        known = earlier.select("id", F.lit(True).alias("_known")).distinct()
+        own = F.when(F.col("_known"), stable_id(F.lit("again"), F.col("id"), F.lit(number)))
+        fresh = fresh.join(known, "id", "left").withColumn("id", F.coalesce(own, "id"))
+        store.append("proposals", fresh.drop("_known"), number)
 
     return questions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
