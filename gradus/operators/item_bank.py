@@ -31,6 +31,13 @@ PROMPT_WORDS = {
         "địa lí", "dia li", "lịch sử", "lich su",
     ],
 }
+DOMAIN_NAMES = {
+    "dom_math": "Toán học & Phân tích số liệu",
+    "dom_logic": "Tư duy Logic & Suy luận",
+    "dom_lang": "Sử dụng Ngôn ngữ & Văn học",
+    "dom_nat_sci": "Khoa học Tự nhiên (Lý - Hóa - Sinh)",
+    "dom_soc_sci": "Khoa học Xã hội (Sử - Địa)",
+}
 OPTION_FILLER = "Phương án "
 DEFAULT_DOMAIN, DEFAULT_SKILL, DEFAULT_SKILL_NAME = "dom_math", "sk_general", "Kỹ năng chuyên môn"
 DEFAULT_BLOOM = 2
@@ -107,8 +114,9 @@ def validated(items: DataFrame) -> DataFrame:
     """Generated items made usable: four options, a valid key (by position if it is none), a Bloom
     level from 1 to 6 and defaults; ``repairs`` counts what had to be changed.
 
-    ``items``: index (from 0 in its exam), options, correct, bloom, domain_id, skill_id, skill_name,
-    content, explanation.
+    ``items``: index (from 0 in its exam), requested_domain, options, correct, bloom, domain_id,
+    skill_id, skill_name, content, explanation. An item without a domain belongs to the one that was
+    asked for; if all were, every item counts as mathematics.
     """
     given = F.coalesce("options", F.array().cast("array<string>"))
     fillers = F.array(*[F.lit(f"{OPTION_FILLER}{x}") for x in LETTERS])
@@ -127,13 +135,19 @@ def validated(items: DataFrame) -> DataFrame:
             F.col(column)
         )
 
+    own = F.when(F.coalesce("domain_id", F.lit("")) != "", F.col("domain_id"))
+    domain = F.when(F.col("requested_domain") == ALL, DEFAULT_DOMAIN).otherwise(
+        F.coalesce(own, "requested_domain")
+    )
+    names = F.create_map(*[F.lit(x) for pair in DOMAIN_NAMES.items() for x in pair])
     return items.withColumns(
         {
             "id": name,
             "options": options,
             "correct": F.when(key.isin(*LETTERS), key).otherwise(cycle),
             "bloom": F.least(F.lit(6), F.greatest(F.lit(1), level)),
-            "domain_id": default("domain_id", DEFAULT_DOMAIN),
+            "domain_id": domain,
+            "domain_name": F.coalesce(names[domain], F.lit(DOMAIN_NAMES[DEFAULT_DOMAIN])),
             "skill_id": default("skill_id", DEFAULT_SKILL),
             "skill_name": default("skill_name", DEFAULT_SKILL_NAME),
             "content": F.coalesce("content", F.concat(F.lit("Câu hỏi "), name)),

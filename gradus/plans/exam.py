@@ -500,7 +500,12 @@ SELECT p_partkey AS item_id, printf('q%02d', index + 1) AS id,
        array_to_string(list_concat(options, ['Phương án A', 'Phương án B', 'Phương án C', 'Phương án D'][len(options) + 1:4])[1:4], '|') AS options,
        CASE p_partkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN substr('ABCD', index % 4 + 1, 1) ELSE 'D' END AS correct,
        least(6, greatest(1, bloom)) AS bloom,
-       CASE WHEN p_size % 2 = 0 THEN 'dom_math' ELSE 'dom_lang' END AS domain_id,
+       CASE WHEN p_partkey % 5 = 0 THEN 'dom_math' WHEN p_size % 2 = 1 THEN 'dom_lang'
+            ELSE ['dom_logic', 'dom_nat_sci', 'dom_x'][p_partkey % 3 + 1] END AS domain_id,
+       CASE WHEN p_partkey % 5 = 0 THEN 'Toán học & Phân tích số liệu'
+            WHEN p_size % 2 = 1 THEN 'Sử dụng Ngôn ngữ & Văn học'
+            ELSE ['Tư duy Logic & Suy luận', 'Khoa học Tự nhiên (Lý - Hóa - Sinh)',
+                  'Toán học & Phân tích số liệu'][p_partkey % 3 + 1] END AS domain_name,
        coalesce(CASE WHEN p_size % 3 > 0 THEN p_name END, 'Câu hỏi ' || printf('q%02d', index + 1)) AS content,
        CAST(len(options) <> 4 AS INTEGER) + CAST(p_partkey % 4 = 2 AS INTEGER) + CAST(bloom NOT BETWEEN 1 AND 6 AS INTEGER) AS repairs
 FROM g JOIN part USING (p_partkey, p_size)""",
@@ -514,6 +519,11 @@ def validated_items(spark: SparkSession, d: str) -> DataFrame:
         F.element_at(F.array(F.lit("a"), F.lit("B"), F.lit("E"), F.lit(" d")), (p % 4 + 1).cast("int")).alias("correct"),
         (size % 9 - 1).alias("bloom"),
         F.when(size % 2 == 0, "").otherwise("dom_lang").alias("domain_id"),
+        F.when(p % 5 == 0, item_bank.ALL)
+        .otherwise(
+            F.get(F.array(F.lit("dom_logic"), F.lit("dom_nat_sci"), F.lit("dom_x")), (p % 3).cast("int"))
+        )
+        .alias("requested_domain"),
         F.lit(None).cast("string").alias("skill_id"),
         F.lit(None).cast("string").alias("skill_name"),
         F.when(size % 3 > 0, F.col("p_name")).alias("content"),
@@ -522,7 +532,7 @@ def validated_items(spark: SparkSession, d: str) -> DataFrame:
     out = item_bank.validated(generated)
     return out.select(
         "item_id", "id", F.array_join("options", "|").alias("options"), "correct", "bloom",
-        "domain_id", "content", "repairs",
+        "domain_id", "domain_name", "content", "repairs",
     )
 
 
