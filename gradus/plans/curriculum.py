@@ -387,3 +387,18 @@ def curriculum_completeness(spark: SparkSession, d: str) -> DataFrame:
     )
     lessons = table(spark, d, "supplier").withColumnRenamed("s_nationkey", "curriculum_id")
     return ops.completeness(chapters, lessons, customers.where("c_acctbal < 1000"), "curriculum_id")
+
+
+@query(
+    "reset_sources",
+    f"""WITH {_SOURCES}, {_CHUNKS}, {_NEWEST}
+SELECT source_id, chunk_index FROM chunks WHERE source_id NOT IN (
+  SELECT source_id FROM newest JOIN supplier ON printf('s%09d', s_suppkey) = source_id WHERE s_acctbal < 4000)""",
+)
+def reset_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Stored chunks after a forced re-ingest of some files, whose newest sources start over."""
+    forced = table(spark, d, "supplier").where("s_acctbal < 4000").select(
+        F.format_string("s%09d", "s_suppkey").alias("source_id")
+    )
+    newest = ops.newest_sources(_sources(spark, d)).join(forced, "source_id", "left_semi")
+    return ops.reset_sources(_chunks(spark, d), newest).select("source_id", "chunk_index")

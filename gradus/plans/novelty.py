@@ -271,3 +271,21 @@ def upsert_archetypes(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("string").alias("embedding_text"),
     )
     return kept.unionByName(turned_away)
+
+
+@query(
+    "replaced_children",
+    f"""WITH {views.TRAPS}
+SELECT archetype_id, trap_id FROM traps WHERE archetype_id NOT LIKE 'A03%'
+UNION ALL SELECT printf('A%03d', 30 + s_suppkey % 5), 'N' || s_suppkey FROM supplier""",
+)
+def replaced_children(spark: SparkSession, d: str) -> DataFrame:
+    """Traps after an upsert of five archetypes, whose new traps are the suppliers."""
+    traps = views.traps(spark, d).select("archetype_id", "trap_id")
+    fresh = table(spark, d, "supplier").select(
+        F.format_string("A%03d", F.col("s_suppkey") % 5 + 30).alias("archetype_id"),
+        F.concat(F.lit("N"), "s_suppkey").alias("trap_id"),
+    )
+    seeded = views.centroids(spark, d).where("archetype_id LIKE 'A03%'").select("archetype_id")
+    replaced = seeded.unionByName(fresh.select("archetype_id")).distinct()
+    return ops.replace_children(traps, replaced, fresh)
