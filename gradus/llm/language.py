@@ -5,8 +5,8 @@ filters of two, three and four bytes slide over a window, each keeps its maximum
 gives the probabilities of the languages. Those of a text are the mean over all of its windows,
 weighted by their bytes.
 
-The network is trained with numpy on the driver: at most ``max_rows`` labelled rows, the same number
-of each language, chosen by a hash of the id, and from each at most ``WINDOWS_PER_ROW`` pieces. It is
+The network is trained with numpy on the driver: about ``max_rows`` labelled rows, never more than
+twice as many, evenly over the languages by a hash of the id, ``WINDOWS_PER_ROW`` pieces of each. It is
 a few thousand numbers, which travel with the tasks. Prediction reads nothing but the text.
 
 Texts that are null or have no letter are ``und`` with score 0; so is every text if no row has a
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from gradus.llm.registry import query, read
 from gradus.llm.words import slices
+from gradus.session import checkpointed
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -32,6 +33,8 @@ MAX_ROWS = 1_200
 WINDOWS_PER_ROW = 6
 ROUNDS = 8
 UNKNOWN = "und"
+#: Languages whose shares may be broadcast; with more, texts are dealt by language.
+MAX_LANGUAGES = 10_000
 PAD = 256
 #: Windows of one matrix product.
 BLOCK = 512
@@ -141,14 +144,24 @@ class Network:
 def sample(
     df: DataFrame, allowed: Column, id_column: str, text_column: str, lang_column: str, max_rows: int
 ) -> DataFrame:
-    """(lang, pieces): at most ``max_rows`` rows, as many of each language, and pieces of their texts."""
+    """(lang, pieces): about ``max_rows`` rows, as many of each language, and pieces of their texts.
+
+    Each language's rows are counted; then a row is taken if the hash of its id is in the share of its
+    language. No text leaves its partition but the pieces of the rows taken, twice ``max_rows`` at most.
+    """
     text, lang = F.col(f"`{text_column}`"), F.col(f"`{lang_column}`")
-    rows = df.where(allowed & lang.isNotNull() & text.isNotNull()).select(
-        lang.alias("lang"), text.alias("text"), F.xxhash64(F.col(f"`{id_column}`")).alias("draw")
+    usable = df.where(allowed & lang.isNotNull() & text.isNotNull())
+    counts = usable.groupBy(lang.alias("lang")).count()
+    each = F.lit(max_rows) / F.count(F.lit(1)).over(Window.partitionBy())
+    shares = checkpointed(
+        counts.select(F.struct("lang", (each / F.col("count")).alias("share")).alias("own"))
     )
-    order = Window.partitionBy("lang").orderBy("draw")
-    each = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_rows)
-    fair = each.orderBy("place", "lang").limit(max_rows)
+    if shares.limit(MAX_LANGUAGES + 1).count() <= MAX_LANGUAGES:
+        shares = F.broadcast(shares)
+    draw = F.xxhash64(F.col(f"`{id_column}`"))
+    narrow = usable.select(lang.alias("lang"), text.alias("text"), draw.alias("draw"))
+    place = F.pmod("draw", F.lit(1 << 30)) / (1 << 30)
+    fair = narrow.join(shares, (F.col("lang") == F.col("own.lang")) & (place < F.col("own.share")))
     reach = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     pieces = F.array(
         *[
@@ -156,7 +169,7 @@ def sample(
             for k in range(WINDOWS_PER_ROW)
         ]
     )
-    return fair.select("lang", pieces.alias("pieces"))
+    return fair.select("lang", pieces.alias("pieces"), "draw").orderBy("draw").limit(2 * max_rows)
 
 
 def train(labelled: list, seed: int = 7) -> tuple[list[str], Network | None]:
