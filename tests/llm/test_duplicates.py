@@ -172,3 +172,26 @@ def test_empty_tables(spark):
     assert minmax.near_duplicates(none).count() == 0
     assert lines.deduplicated(none).count() == 0
     assert fingerprints.edited(none).count() == 0
+
+
+def test_lines_that_pass_the_bounds_with_the_first_but_are_not_similar(spark):
+    """The parity maps of two lines agree by chance: the line is compared with the others after all."""
+    import numpy as np
+
+    one = [np.ones(1, np.uint64)], [np.ones(1, np.uint64)]
+
+    def bits(words):
+        block = lines.Block([0], [" ".join(words)], ([*one[0]], [*one[1]]))
+        return int(np.bitwise_xor.reduce(np.uint64(1) << (block.words >> np.uint64(58))))
+
+    base = [f"b{i}" for i in range(20)]
+    changed = next(
+        words
+        for i in range(5000)
+        for words in [base[:18] + [f"p{i}", f"q{i}"]]
+        if (bits(base) ^ bits(words)).bit_count() <= 2
+    )
+    rows = [(1, " ".join(base)), (2, " ".join([*changed, "extra"])), (3, " ".join(changed))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.to_doc) for r in lines.removals(df)[1].collect()}
+    assert got == {(3, 2)}
