@@ -195,3 +195,40 @@ def test_lines_that_pass_the_bounds_with_the_first_but_are_not_similar(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.to_doc) for r in lines.removals(df)[1].collect()}
     assert got == {(3, 2)}
+
+
+def test_short_lines_that_repeat(spark):
+    """Lines of one and two distinct words go like all others; only lines without words stay."""
+    script = "日本語の段落は一つの語である。" * 20
+    texts = [
+        "Read more\n\nla la la la\na b c d e\n" + script,
+        "read  MORE\n\nLA la\n" + script + "\nmore",
+        "more\n \na b c d e f\nRead\nmore read\nf e d c b a g",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [
+        (key, number, frozenset(lines.line_words(line)))
+        for key, text in enumerate(texts)
+        for number, line in enumerate(text.split("\n"))
+    ]
+    want = line_rows([s for s in sets if s[2]])
+    assert want == {(1, 0): False, (1, 2): False, (1, 3): False, (2, 0): False, (2, 4): False, (2, 5): True}
+    assert {(r.doc_id, r.line): r.near for r in lines.removals(df)[1].collect()} == want
+    left = {r.doc_id: r.text for r in lines.deduplicated(df).collect()}
+    assert left == {0: texts[0], 1: "\nmore", 2: " \na b c d e f\nRead"}
+    _, removed = lines.removals(df, min_words=3)
+    assert {(r.doc_id, r.line): r.near for r in removed.collect()} == {(2, 5): True}
+
+
+@pytest.mark.parametrize("source", [table, documents, variants])
+def test_lines_against_all_pairs(spark, source):
+    """All lines with a word, whatever the constants of the module are."""
+    df = source(spark)
+    given = {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect() if r.doc_id is not None}
+    sets = [
+        (key, number, frozenset(lines.line_words(line)))
+        for key, text in sorted(given.items())
+        for number, line in enumerate(text.split("\n"))
+    ]
+    want = line_rows([s for s in sets if s[2]])
+    assert {(r.doc_id, r.line): r.near for r in lines.removals(df)[1].collect()} == want
