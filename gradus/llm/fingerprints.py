@@ -5,9 +5,11 @@ prime, up to each position. The difference of two entries is the hash of a span,
 spans are equal is answered in constant time, and how far two texts agree from two given positions
 is found by binary search. The fingerprint is the length and the hash of the whole text.
 
-Two texts are compared by following their longest common extension, stepping over a difference of
-up to ``GAP`` code points by the next window of ``RESUME`` code points that both have, and in the
-end the longest common suffix of what is left. Their likeness is the number of code points that
+Two texts are compared by following their longest common extension, stepping over a difference by the
+next window of ``RESUME`` code points that both have, and in the end the longest common suffix of what
+is left. Windows are sought within ``GAP`` code points first, then within twice as many, up to the rest
+of both texts, so a difference may have any length; each step goes on by at least half of what it looked
+at, so that all steps together look at a few times the lengths of the texts. Their likeness is the number of code points that
 extensions cover, over the length of the longer text; two empty texts are alike (1).
 
 ``edited`` compares each text with a changed form of itself and with the next document. Documents
@@ -39,26 +41,28 @@ GAP, RESUME = 64, 16
 class Powers:
     """base ** k modulo each prime, for k as far as was asked for."""
 
-    def __init__(self):
+    def __init__(self, bases: tuple[int, ...]):
+        self.bases = bases
         self.known = [np.ones(1, np.int64) for _ in PRIMES]
 
     def upto(self, size: int) -> list[np.ndarray]:
         while len(self.known[0]) < size:
-            for i, (prime, base) in enumerate(zip(PRIMES, BASES)):
+            for i, (prime, base) in enumerate(zip(PRIMES, self.bases)):
                 have = self.known[i]
                 self.known[i] = np.concatenate([have, have * pow(base, len(have), prime) % prime])
         return self.known
 
 
-POWERS = Powers()
+POWERS = Powers(BASES)
+INVERSES = Powers(tuple(pow(base, -1, prime) for prime, base in zip(PRIMES, BASES)))
 
 
 class Prefixes:
     """A text's prefix arrays."""
 
     def __init__(self, points: np.ndarray):
-        self.points, self.size = points, len(points)
-        powers = POWERS.upto(2 * self.size + GAP + 1)
+        self.points, self.size, self._windows = points, len(points), None
+        powers = POWERS.upto(2 * self.size + 1)
         self.sums = []
         for prime, power in zip(PRIMES, powers):
             sums = np.zeros(self.size + 1, np.int64)
@@ -70,6 +74,17 @@ class Prefixes:
     def of(cls, text: str) -> Prefixes:
         return cls(np.frombuffer(text.encode("utf-32-le"), "<u4"))
 
+    def windows(self) -> np.ndarray:
+        """Hashes of the RESUME code points at each position, the same wherever they stand."""
+        if self._windows is None:
+            count = max(self.size - RESUME + 1, 0)
+            keys = np.zeros(count, np.int64)
+            for prime, power, sums in zip(PRIMES, INVERSES.upto(count), self.sums):
+                spans = (sums[RESUME:] - sums[:count]) % prime if count else keys
+                keys = (keys << 31) | (spans * power[:count] % prime)
+            self._windows = keys
+        return self._windows
+
     def fingerprint(self) -> str:
         first, second = (int(sums[-1]) for sums in self.sums)
         return f"{self.size:x}-{first:08x}{second:08x}"
@@ -108,26 +123,34 @@ def common_suffix(a: Prefixes, b: Prefixes, most: int) -> int:
     return low
 
 
-def _windows(a: Prefixes, i: int, other: int) -> np.ndarray:
-    """Hashes of the RESUME code points at i, i + 1, ..., comparable with a text's from ``other``."""
-    count = min(GAP, a.size - i - RESUME) + 1
-    if count <= 0:
-        return np.empty(0, np.int64)
-    keys = np.zeros(count, np.int64)
-    for prime, power, sums in zip(PRIMES, POWERS.known, a.sums):
-        spans = (sums[i + RESUME : i + RESUME + count] - sums[i : i + count]) % prime
-        level = power[GAP - np.arange(count)]
-        keys = (keys << 31) | (spans * level % prime * power[other] % prime)
-    return keys
+def _shared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys that both have stand first in each."""
+    low = (1 << max(8, len(x).bit_length() + 3)) - 1
+    met = np.zeros(low + 1, bool)
+    # Most keys are ruled out by their low bits before any are sorted.
+    met[x & low] = True
+    second = np.flatnonzero(met[y & low])
+    met[:] = False
+    met[y[second] & low] = True
+    first = np.flatnonzero(met[x & low])
+    _, i, j = np.intersect1d(x[first], y[second], return_indices=True)
+    return first[i], second[j]
 
 
 def resume(a: Prefixes, i: int, b: Prefixes, j: int) -> tuple[int, int] | None:
-    """The nearest positions, within GAP of i and j, from which both texts have the same window."""
-    _, first, second = np.intersect1d(_windows(a, i, j), _windows(b, j, i), return_indices=True)
-    if not len(first):
-        return None
-    at = int(np.argmin(first + second))
-    return i + int(first[at]), j + int(second[at])
+    """The nearest positions from i and j on from which both texts have the same window, in the first
+    reach (GAP, doubled up to the rest of both texts) that has any."""
+    x, y = a.windows()[i:], b.windows()[j:]
+    reach = GAP
+    while len(x) and len(y):
+        first, second = _shared(x[: reach + 1], y[: reach + 1])
+        if len(first):
+            at = int(np.argmin(first + second))
+            return i + int(first[at]), j + int(second[at])
+        if reach >= max(len(x), len(y)):
+            break
+        reach *= 2
+    return None
 
 
 def likeness(a: Prefixes, b: Prefixes) -> float:

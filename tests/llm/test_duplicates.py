@@ -232,3 +232,31 @@ def test_lines_against_all_pairs(spark, source):
     ]
     want = line_rows([s for s in sets if s[2]])
     assert {(r.doc_id, r.line): r.near for r in lines.removals(df)[1].collect()} == want
+
+
+@pytest.mark.parametrize("shares", [(0.05, 0.95), (1 / 3, 2 / 3)])
+@pytest.mark.parametrize("size", [100, 3000])
+def test_likeness_over_long_differences(shares, size):
+    """What stands between two long insertions, or two long replaced stretches, still counts."""
+    import random
+
+    draw = random.Random(5)
+
+    def made(count):
+        return "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=count))
+
+    text = made(20_000)
+    first, second = (int(20_000 * share) for share in shares)
+    inserted = text[:first] + made(size) + text[first:second] + made(size) + text[second:]
+    replaced = text[: first - size] + made(size) + text[first:second] + made(size) + text[second + size :]
+    replaced = replaced if first >= size and second + size <= 20_000 else None
+    for other in filter(None, (inserted, replaced)):
+        want = (20_000 if other is inserted else 20_000 - 2 * size) / len(other)
+        for pair in ((text, other), (other, text)):
+            assert fingerprints.likeness(*map(fingerprints.Prefixes.of, pair)) == pytest.approx(want, abs=0.005)
+
+
+def test_likeness_of_unrelated_texts():
+    pair = [fingerprints.Prefixes.of(chr(97 + k) * 5000) for k in range(2)]
+    assert fingerprints.likeness(*pair) == 0
+    assert fingerprints.likeness(fingerprints.Prefixes.of("short"), pair[0]) == 0
