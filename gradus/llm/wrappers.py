@@ -9,8 +9,9 @@ take part and no task holds the pages of a host.
 
 In a wrapper the content is where the variable text is: from the body down, an element is entered as
 long as it is an article by name or holds nearly all the characters of the slots outside of menus,
-forms and the like. A page's text is made of its blocks inside that element. Constant texts of the
-wrapper are dropped unless the element is an article by name. A page that lacks the element is
+forms and the like. All texts of an article by name count as slots there, as copies of one article on
+many pages look like layout. A page's text is made of its blocks inside that element. Constant texts of the
+wrapper are dropped unless they stand in an article by name. A page that lacks the element is
 treated by its own wrapper.
 
 Nulls and pages without text give an empty text; markup that is not closed ends where its parent
@@ -320,13 +321,22 @@ def variable_size(node: Node) -> int:
     return sum(map(variable_size, node.children))
 
 
+def content_size(node: Node, named: bool = False) -> int:
+    """``variable_size``, but of articles by name all characters."""
+    if node.role == "out":
+        return 0
+    if node.tag == TEXT:
+        return node.size if named else variable_size(node)
+    return sum(content_size(c, named or node.role == "article") for c in node.children)
+
+
 def content(wrapper: Node) -> tuple[list[str], bool]:
     """(path of the content element, whether it is an article by name)."""
     node, path = wrapper, []
     while True:
-        inside = [(variable_size(c), c) for c in node.children if c.tag != TEXT and c.role != "out"]
+        inside = [(content_size(c), c) for c in node.children if c.tag != TEXT and c.role != "out"]
         total = sum(size for size, _ in inside) + sum(
-            variable_size(c) for c in node.children if c.tag == TEXT
+            content_size(c) for c in node.children if c.tag == TEXT
         )
         named = [(s, c) for s, c in inside if c.role == "article" and s > 0]
         if named:
@@ -347,7 +357,7 @@ def constants(node: Node, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, .
         if child.tag == TEXT:
             if child.const and child.pages >= SUPPORT:
                 found.append((path, child.const))
-        else:
+        elif child.role != "article":
             found += constants(child, (*path, child.tag))
     return found
 

@@ -166,3 +166,21 @@ def test_alignment_is_union_free():
     )
     packed = wrappers.Node.unpack(wrapper.pack())
     assert wrappers.expression(packed) == wrappers.expression(wrapper)
+
+
+def test_copies_of_a_named_article_that_differ_in_a_date(spark):
+    article = "<article><h1>One heading</h1><p>The same short paragraph on every page.</p></article>"
+    forms = {
+        "flat.org": "<html><body><div class=meta>Posted on day {i}</div>" + article + "</body></html>",
+        "deep.org": "<html><body><div class=meta>Posted on day {i}</div><div class=wrap><div>" + article
+        + "</div></div></body></html>",
+    }
+    rows = [
+        (i, f"https://{host}/{i}", form.format(i=i)) for host, form in forms.items() for i in range(12)
+    ]
+    got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 24
+    text = "One heading\nThe same short paragraph on every page."
+    assert {r.text for r in got if "flat" in r.url} == {text}
+    # Deeper down the article holds less than DOMINANT of the text: the date stays, the article too.
+    assert {r.text for r in got if "deep" in r.url} == {f"Posted on day {i}\n{text}" for i in range(12)}
