@@ -36,6 +36,7 @@ def _load() -> None:
         pii,
         mixing,
         quality,
+        ranking,
         runs,
         token_counts,
         wrappers,
