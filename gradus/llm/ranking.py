@@ -3,19 +3,21 @@ r"""Ranked lexical search over a length-stratified index.
 The score of a document for an item is a sum over the item's terms of ``w * impact``, where the term's
 weight w falls with the number of documents that hold it, and impact = 10^9 tf div (1000 tf + 12 m)
 depends on the occurrences tf and on the document's length alone, by its normaliser m. Documents of
-equal m form a stratum, within which equal tf means equal impact. So the index keeps, for blocks of
-documents, a row per stratum: its document ids, and for each of its terms the documents by tf. Nothing
-is sampled: every document with a term is in one stratum, and all its terms are posted.
+equal m form a stratum, within which equal tf means equal impact. So a task that reads documents indexes
+them in blocks of ``BLOCK_POSTINGS``, a row per stratum: its document ids, and for each of its terms the
+documents by tf. Nothing is sampled: every document with a term is in one stratum, all its terms posted.
 
 A search works out the impacts of a stratum once per tf. The impact of a term's highest tf, times the
 weight, summed over an item's terms, bounds all scores of that stratum: each item visits the strata in
 descending order of their bounds and stops where the bound falls below its k-th best score. Scores are
 whole numbers and ties go to the lower id, so a bound equal to the k-th score is still visited. Every
-task keeps its k best for each item; those are ranked in the end, k rows for each item and task.
+task keeps its k best for each item from block to block; those are ranked in the end, k rows for each
+item and task. The index is parted by documents, so neither texts nor postings are shuffled, and a lost
+executor costs its own blocks.
 
 Items are searched in blocks of ``ITEM_BYTES`` of their texts, so that what is sent to the tasks is
-bounded. Building reads the documents twice: for the counts (terms, documents, length), and for the
-strata once the mean length is known. Neither shuffles texts or postings.
+bounded. The documents are read once for the counts (terms, documents, length), which are stored, and
+once for each block of items.
 
 Terms are the maximal stretches of digits, A-Z, a-z and characters beyond ASCII, A-Z lower-cased. Null
 and empty texts have none, count nowhere and are never returned. Documents without an id count in the
@@ -43,11 +45,11 @@ from gradus.session import scratch_folder
 #: Share of the normaliser that follows the length, in hundredths, and scales of score and weight.
 SHARE, SCALE, FACTOR, WEIGHT = 25, 1_000_000_000, 12, 1000
 #: Postings of the documents that one block of strata holds.
-BLOCK_POSTINGS = 500_000
+BLOCK_POSTINGS = 400_000
 #: Distinct terms that a task counts before it hands them on.
-TASK_TERMS = 500_000
+TASK_TERMS = 200_000
 #: Bytes of item texts that are sent to the tasks at once.
-ITEM_BYTES = 4_000_000
+ITEM_BYTES = 100_000
 
 _TERM = [48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128 for b in range(256)]
 _FOLD = bytes((b + 32 if 65 <= b < 91 else b) if _TERM[b] else 32 for b in range(256))
@@ -72,11 +74,10 @@ def impact(tf, m: int):
 
 @dataclass
 class Index:
-    """``strata`` (m, docs, terms, groups, tfs, counts, members), ``terms`` (term, holding), the number
-    of ``documents`` with a term and the ``length`` of all. In a stratum the k-th term has groups[k]
-    values of tf, each of these counts[..] members, which are places in docs."""
+    """The documents (id, text) that a search indexes, ``terms`` (term, holding), the number of
+    ``documents`` with a term and the ``length`` of all."""
 
-    strata: DataFrame
+    docs: DataFrame
     terms: DataFrame
     documents: int
     length: int
@@ -112,15 +113,16 @@ def statistics(docs: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.sum("holding").alias("holding"), F.sum("length").alias("length"))
 
 
-_STRATUM = "m bigint, terms array<binary>, groups array<int>, tfs array<int>, counts array<int>, members array<int>"
-
-
 def _lists(values: np.ndarray, cuts: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values, kind))
 
 
 class _Block:
-    """Postings of some documents, and the strata made of them."""
+    """Postings of some documents, and the strata made of them.
+
+    A stratum is (m, docs, terms, groups, tfs, counts, members): its k-th term has groups[k] values of tf,
+    each of these counts[..] members, which are places in docs.
+    """
 
     def __init__(self):
         self.docs, self.m, self.sizes = [], [], []
@@ -172,34 +174,32 @@ class _Block:
 
 
 def build_index(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Index:
-    """The index of all documents, stored in the shared folder."""
+    """What a search needs to index the documents; the counts are stored in the shared folder."""
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("binary").alias("text"))
     folder = scratch_folder(spark)
-    statistics(docs).write.parquet(f"{folder}/terms")
-    terms = spark.read.parquet(f"{folder}/terms")
+    statistics(docs).write.parquet(folder)
+    terms = spark.read.parquet(folder)
     whole = terms.where("term IS NULL").collect()
     documents, length = (whole[0]["holding"], whole[0]["length"]) if whole else (0, 0)
-
-    def tasks(batches):
-        block, id_type = _Block(), None
-        for given in batches:
-            id_type = given.column(0).type
-            for part in slices(given):
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = terms_of(text)
-                    if found and doc is not None:
-                        block.add(doc, found, normaliser(len(found), documents, length))
-                    if len(block.terms) >= BLOCK_POSTINGS:
-                        yield block.strata(id_type)
-                        block = _Block()
-        if block.terms:
-            yield block.strata(id_type)
-
-    id_sql = docs.schema["id"].dataType.simpleString()
-    schema = _STRATUM.replace("terms", f"docs array<{id_sql}>, terms", 1)
-    docs.mapInArrow(tasks, schema).write.parquet(f"{folder}/strata")
-    return Index(spark.read.parquet(f"{folder}/strata"), terms.where("term IS NOT NULL"), documents, length)
+    return Index(docs, terms.where("term IS NOT NULL"), documents, length)
+
+
+def blocks_of(batches, documents: int, length: int):
+    """The strata of blocks of documents, from batches of (id, text)."""
+    block, id_type = _Block(), None
+    for given in batches:
+        id_type = given.column(0).type
+        for part in slices(given):
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                found = terms_of(text)
+                if found and doc is not None:
+                    block.add(doc, found, normaliser(len(found), documents, length))
+                if len(block.terms) >= BLOCK_POSTINGS:
+                    yield block.strata(id_type)
+                    block = _Block()
+    if block.terms:
+        yield block.strata(id_type)
 
 
 @dataclass
@@ -277,7 +277,7 @@ def best_of(strata: list[_Stratum], items: _Items, best: list[list], k: int) ->
 
 def _search(index: Index, rows: list, k: int, id_sql: str) -> DataFrame:
     """(item, found): each task's best documents for the items of a block."""
-    spark = index.strata.sparkSession
+    spark, documents, length = index.docs.sparkSession, index.documents, index.length
     counts = [Counter(terms_of(r["text"])) for r in rows]
     numbers = {t: n for n, t in enumerate(dict.fromkeys(t for c in counts for t in c))}
     asked = spark.createDataFrame([(bytearray(t),) for t in numbers] or [], "term binary")
@@ -296,10 +296,9 @@ def _search(index: Index, rows: list, k: int, id_sql: str) -> DataFrame:
         wanted = pa.array(list(given.numbers), pa.binary())
         best: list[list] = [[] for _ in given.terms]
         id_type = None
-        for batch in batches:
-            id_type = batch.schema.field("docs").type.value_type
-            for part in slices(batch, 256):
-                best_of([_Stratum(row, wanted) for row in _rows(part)], given, best, k)
+        for block in blocks_of(batches, documents, length):
+            id_type = block.schema.field("docs").type.value_type
+            best_of([_Stratum(row, wanted) for row in _rows(block)], given, best, k)
         met = [n for n, found in enumerate(best) if found]
         if met:
             flat = [pair for n in met for pair in best[n]]
@@ -311,7 +310,7 @@ def _search(index: Index, rows: list, k: int, id_sql: str) -> DataFrame:
                 names=["item", "found"],
             )
 
-    return index.strata.mapInArrow(tasks, f"item int, found array<struct<score:bigint,id:{id_sql}>>")
+    return index.docs.mapInArrow(tasks, f"item int, found array<struct<score:bigint,id:{id_sql}>>")
 
 
 def search(
@@ -332,7 +331,7 @@ def search(
     )
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // ITEM_BYTES) or 1
-    id_sql = index.strata.schema["docs"].dataType.elementType.simpleString()
+    id_sql = index.docs.schema["id"].dataType.simpleString()
     parts = []
     for number in range(blocks):
         rows = given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).collect()

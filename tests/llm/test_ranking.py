@@ -100,7 +100,6 @@ def test_bounds_skip_strata(spark):
     items = spark.createDataFrame([(1, "rare")], "item_id long, text string")
     assert found(index, items, 3) == plain(docs, [(1, "rare")], 3)
 
-    strata = [r.asDict() for r in index.strata.collect()]
     visited = []
 
     class Counted(ranking._Stratum):
@@ -111,11 +110,9 @@ def test_bounds_skip_strata(spark):
     import numpy as np
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pylist(strata, schema=pa.schema([
-        ("m", pa.int64()), ("docs", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())),
-        *((c, pa.list_(pa.int32())) for c in ("groups", "tfs", "counts", "members")),
-    ]))
-    rows = [Counted(row, pa.array([b"rare"], pa.binary())) for row in ranking._rows(batch)]
+    batch = pa.RecordBatch.from_pydict({"id": [k for k, _ in docs], "text": [t.encode() for _, t in docs]})
+    (block,) = ranking.blocks_of([batch], index.documents, index.length)
+    rows = [Counted(row, pa.array([b"rare"], pa.binary())) for row in ranking._rows(block)]
     best = [[]]
     ranking.best_of(rows, ranking._Items({b"rare": 0}, [np.array([0])], [np.array([7])]), best, 3)
     assert len(best[0]) == 3 and len(visited) < len(rows) / 3
