@@ -38,6 +38,7 @@ def _load() -> None:
         quality,
         ranking,
         runs,
+        suffixes,
         token_counts,
         wrappers,
     )
