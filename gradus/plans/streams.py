@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions.markers import Markers
+from gradus.operators import catalog as catalog_ops
+from gradus.operators import chunking
 from gradus.plans import query, views
 from gradus.plans.novelty import _DETECT, THRESHOLD
 from gradus.plans.psychometrics import _golden
@@ -15,6 +18,10 @@ from gradus.sources.tables import table
 from gradus.streaming import jobs
 
 
+#: More files than a part is written in: each run reads all of it as one batch.
+WHOLE_PART = 1_000_000
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
@@ -136,13 +143,13 @@ def stream_novelty_staging(spark: SparkSession, d: str) -> DataFrame:
     archetypes = views.centroids(spark, d)
 
     def run() -> None:
-        stream = jobs.file_stream(spark, f"{folder}/in", questions.schema)
+        stream = jobs.file_stream(spark, f"{folder}/in", questions.schema, files_per_trigger=WHOLE_PART)
         writer = jobs.novelty_staging(stream, archetypes, store, f"{folder}/state", THRESHOLD)
         writer.trigger(availableNow=True).start().awaitTermination()
 
     for part in range(3):
         own = questions.where(F.col("question_id") % 3 == part)
-        own.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        own.write.mode("append").parquet(f"{folder}/in")
         if part == 2:
             decided = store.appended("proposals", jobs.PROPOSALS).where("id < '8'")
             store.publish({"reviews": decided.select("id")})
@@ -153,3 +160,91 @@ def stream_novelty_staging(spark: SparkSession, d: str) -> DataFrame:
         .groupBy(F.col("raw_question_latex").alias("question_text"))
         .agg(F.countDistinct("id").alias("proposals"))
     )
+
+
+_PARTS = 3
+_CHUNKS = "document_id string, chunk_id string, chunk_index int, content string"
+
+
+class _Killed(SnapshotStore):
+    """A store whose driver dies once, after a batch's chunks are written and before its commit."""
+
+    def __init__(self, spark: SparkSession, base: str, batch: int) -> None:
+        super().__init__(spark, base)
+        self.batch = batch
+
+    def publish(self, tables, stream=None, batch=None):
+        if batch == self.batch:
+            self.batch = None
+            raise RuntimeError("killed between append and publish")
+        return super().publish(tables, stream, batch)
+
+
+def ingested(spark: SparkSession, d: str, killed: int | None) -> tuple[SnapshotStore, int]:
+    """A store after three batches of all uploads, and how many runs failed. The batch ``killed``
+    dies between its two writes and is replayed by the next run."""
+    folder = scratch_folder(spark)
+    store = _Killed(spark, f"{folder}/store", killed)
+    uploads = views.uploads(spark, d)
+    store.publish({"catalog": views.prior_catalog(spark, d)})
+    last = uploads.agg(F.max("arrival")).first()[0] or 0
+
+    def chunk(batch: DataFrame) -> DataFrame:
+        texts = batch.withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
+        return chunking.paragraph_chunks(texts, "arrival", "content")
+
+    def run() -> bool:
+        stream = jobs.file_stream(spark, f"{folder}/in", uploads.schema, files_per_trigger=WHOLE_PART)
+        writer = jobs.ingest(stream, store, chunk, f"{folder}/state")
+        running = writer.trigger(availableNow=True).start()
+        try:
+            running.awaitTermination()
+        except StreamingQueryException as error:
+            if "killed between" not in str(error):
+                raise
+            return False
+        return True
+
+    failed = 0
+    for part in range(_PARTS):
+        mine = F.col("arrival") * _PARTS / F.lit(last + 1)
+        uploads.where(F.floor(mine) == part).write.mode("append").parquet(f"{folder}/in")
+        while not run():
+            failed += 1
+    return store, failed
+
+
+@query(
+    "stream_versioned_ingest",
+    f"""WITH {views.DECISIONS},
+parts AS (SELECT arrival * {_PARTS} // (max(arrival) OVER () + 1) AS part, * FROM decisions),
+part_winners AS (
+  SELECT document_group_id, part, max(version) AS winner, arg_max(uploaded_at, version) AS swapped_at
+  FROM parts WHERE action <> 'UNCHANGED' GROUP BY document_group_id, part),
+lost AS (
+  SELECT *, lead(swapped_at) OVER (PARTITION BY document_group_id ORDER BY part) AS lost_at,
+         row_number() OVER (PARTITION BY document_group_id ORDER BY part) AS nth FROM part_winners),
+live AS (
+  SELECT document_id, count(*) AS chunks, sum(length({views.STRIP.format('content')}))::BIGINT AS chars
+  FROM paragraphs GROUP BY document_id)
+SELECT s.id, s.document_group_id, s.file_name, s.version, s.file_hash, s.status, s.is_current, s.total_chunks,
+       coalesce(CASE WHEN s.version = 3 AND p.is_current AND p.id = s.id THEN first.swapped_at ELSE own.lost_at END,
+                s.created_at) AS updated_at,
+       coalesce(chunks, 0) AS chunks, coalesce(chars, 0) AS chars
+FROM snapshot s LEFT JOIN live ON live.document_id = s.id
+LEFT JOIN prior p ON p.id = s.id
+LEFT JOIN lost AS first ON first.document_group_id = s.document_group_id AND first.nth = 1
+LEFT JOIN lost AS own ON own.document_group_id = s.document_group_id AND own.winner = s.version AND p.id IS NULL""",
+)
+def stream_versioned_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches of uploads, the second killed between its chunks and its catalog and replayed:
+    the catalog and the chunks of each version are those of the batch operators."""
+    store, _ = ingested(spark, d, killed=1)
+    catalog = store.read("catalog", catalog_ops.CATALOG_SCHEMA)
+    chunks = jobs.ingested_chunks(store, _CHUNKS).groupBy(F.col("document_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content")).alias("chars")
+    )
+    zero = F.lit(0).cast("bigint")
+    return catalog.drop("error_message", "created_at").join(chunks, "id", "left").withColumns(
+        {"chunks": F.coalesce("chunks", zero), "chars": F.coalesce("chars", zero)}
+    )

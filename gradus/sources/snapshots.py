@@ -2,7 +2,8 @@
 
 A snapshot is written next to the old one and becomes current when its commit file appears, all
 tables of a commit together. Appended tables hold one folder per batch; writing a batch again
-replaces its folder, so a replay after a lost driver changes nothing.
+replaces its folder, so a replay after a lost driver changes nothing. A commit also names the last
+batch of its stream, which makes that batch's appended rows and the snapshots visible as one.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class SnapshotStore:
@@ -75,12 +77,17 @@ class SnapshotStore:
     def append(self, name: str, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.base}/{name}/batch={batch}")
 
-    def appended(self, name: str, schema: str, before: int | None = None) -> DataFrame:
-        """Appended rows, of all batches or of those before one."""
-        numbers = [int(n.split("=")[1]) for n in self._children(f"{self.base}/{name}") if "=" in n]
-        wanted = [n for n in numbers if before is None or n < before]
-        if not wanted:
+    def appended(
+        self, name: str, schema: str, before: int | None = None, stream: str | None = None
+    ) -> DataFrame:
+        """Appended rows, of all batches or of those before one. With ``stream`` only rows of batches
+        that it has published: what a batch wrote before it died is not seen, and its replay
+        replaces it."""
+        if not any("=" in n for n in self._children(f"{self.base}/{name}")):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(
-            *[f"{self.base}/{name}/batch={n}" for n in wanted]
-        )
+        rows = self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.base}/{name}")
+        if before is not None:
+            rows = rows.where(F.col("batch") < before)
+        if stream is not None:
+            rows = rows.where(F.col("batch") <= self.last_batch(stream))
+        return rows.drop("batch")

@@ -45,7 +45,10 @@ def ingest(
 
     ``chunk`` turns uploads into rows keyed by arrival. Chunks are appended per batch and never
     rewritten: which of them are live follows from the catalog (``catalog.flag_chunks``), and only
-    the catalog's snapshot is replaced. A replayed batch is recognised by its number.
+    the catalog's snapshot is replaced. Both become visible with one commit: chunks are read with
+    ``ingested_chunks``, which passes over those of a batch that died before it was published. Its
+    replay decides on the same catalog and writes the same folder again; a batch that was published
+    but not yet marked done by Spark is recognised by its number and changes nothing.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -66,6 +69,11 @@ def ingest(
     return uploads.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
+def ingested_chunks(store: SnapshotStore, schema: str) -> DataFrame:
+    """Chunks of all batches that ``ingest`` has published."""
+    return store.appended("chunks", schema, stream="ingest")
+
+
 def running_ability(
     responses: DataFrame,
     model: irt.ItemModel = psychometrics.DEFAULT_MODEL,

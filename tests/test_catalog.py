@@ -3,6 +3,9 @@ from datetime import datetime
 from conftest import rows
 from pyspark.sql import functions as F
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from gradus.operators import catalog as ops
 from gradus.operators import chunking
 from gradus.sources.snapshots import SnapshotStore
@@ -126,3 +129,51 @@ def test_streamed_ingest_equals_batches(spark, tmp_path):
     version = store.version()
     run()
     assert store.version() == version
+
+
+def test_batch_killed_between_its_writes(spark, tmp_path):
+    """What the dead batch wrote is not seen; its replay gives what the batch operators give."""
+    one, two = uploads(spark, "A", "A", "B"), uploads(spark, "B", "C", start=10)
+
+    class Dies(SnapshotStore):
+        dead = False
+
+        def publish(self, tables, stream=None, batch=None):
+            if batch == 1 and not self.dead:
+                self.dead = True
+                raise RuntimeError("dead before the commit")
+            return super().publish(tables, stream, batch)
+
+    store = Dies(spark, str(tmp_path / "store"))
+    schema = "document_id string, chunk_id string, chunk_index int, content string"
+
+    def chunk(batch):
+        return chunking.paragraph_chunks(batch, "arrival", "content")
+
+    def run():
+        stream = jobs.file_stream(spark, str(tmp_path / "in"), UPLOADS)
+        writer = jobs.ingest(stream, store, chunk, str(tmp_path / "state"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    one.coalesce(1).write.parquet(str(tmp_path / "in"))
+    run()
+    before = rows(store.read("catalog", ops.CATALOG_SCHEMA), "id", "version", "is_current")
+    two.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(StreamingQueryException):
+        run()
+    # The chunks are on disk, and nobody sees them: the catalog and they are published as one.
+    assert store.appended("chunks", schema).count() == 3
+    assert jobs.ingested_chunks(store, schema).count() == 2
+    assert rows(store.read("catalog", ops.CATALOG_SCHEMA), "id", "version", "is_current") == before
+    run()
+    _, first, _ = ingest(spark, one, empty(spark))
+    _, want, _ = ingest(spark, two, first)
+    columns = ("id", "version", "file_hash", "status", "is_current", "total_chunks")
+    assert rows(store.read("catalog", ops.CATALOG_SCHEMA), *columns) == rows(want, *columns)
+    assert jobs.ingested_chunks(store, schema).count() == 3
+    # Published, but the stream's own mark is lost: the same batch once more changes nothing.
+    version = store.version()
+    for mark in (tmp_path / "state" / "commits").glob("*1*"):
+        mark.unlink()
+    run()
+    assert store.version() == version and jobs.ingested_chunks(store, schema).count() == 3
