@@ -37,17 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.links import PICK_LIMIT
 from gradus.llm.minmax import mixed
 from gradus.llm.registry import query, read
 from gradus.llm.words import slices, unused
 from gradus.session import checkpointed, scratch_folder, stacked
 
 SPAN, GRAM = 400, 112
-PIECE = 1 << 21
+PIECE = 1 << 19
 BLOCK_BYTES = 2_000_000
 BUCKET_WINDOWS = 200_000
 HOT, STEP = 1000, 16
+#: Classes or stretches that may be broadcast to the texts, about 60 bytes each; beyond it texts are joined.
+BROADCAST_HELD = 50_000
 
 #: A perfect difference set: each residue is the difference of two of its numbers.
 MODULUS, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -413,9 +414,10 @@ def stretches(classes: DataFrame, span: int = SPAN) -> DataFrame:
     return stacked(cold, whole, ordered, alone)
 
 
-def _fits(rows: DataFrame) -> DataFrame:
-    """Stored rows, broadcast if they were counted and are few."""
-    return F.broadcast(rows) if rows.limit(PICK_LIMIT + 1).count() <= PICK_LIMIT else rows
+def _fits(rows: DataFrame, held: str) -> DataFrame:
+    """Stored rows, broadcast if what their arrays hold was counted and is little."""
+    size = rows.agg(F.sum(F.size(held))).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_HELD else rows
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -442,7 +444,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
         mixed_buckets.groupBy("f.id", "f.digest").agg(F.collect_list(asked).alias("asked"))
     )
     fetched = checkpointed(
-        docs.join(_fits(by_text), docs.id.eqNullSafe(by_text.id) & (docs.digest == by_text.digest))
+        docs.join(_fits(by_text, "asked"), docs.id.eqNullSafe(by_text.id) & (docs.digest == by_text.digest))
         .select(F.explode("asked").alias("c"), "text")
         .select(
             "c.anchor", "c.class", "c.n", "c.hot", "c.width", "c.off",
@@ -481,7 +483,7 @@ def without_repeats(
         F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others))).alias("row"),
     )
     on = whole.id.eqNullSafe(spans.id) & (whole.digest == spans.digest)
-    joined = whole.join(_fits(spans), on, "left").select("row", "text", "spans")
+    joined = whole.join(_fits(spans, "spans"), on, "left").select("row", "text", "spans")
     stretch = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def tasks(batches):

@@ -116,7 +116,7 @@ def test_awkward_rows(spark):
 
 
 def test_broad_joins_instead_of_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "PICK_LIMIT", 0)
+    monkeypatch.setattr(suffixes, "BROADCAST_HELD", 0)
     texts = made(random.Random(9), n=12)
     df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
     assert found(df, 40, 12) == [(k, len(t), *w) for k, (t, w) in enumerate(zip(texts, plain(texts, 40)))]
