@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradus.functions import vectors
 from gradus.functions.text import strip
 from gradus.operators.blocks import score_blocks, slices
+from gradus.operators.neighbours import nearest
 from gradus.operators.ordered import bucket_of, running_sum
 
 DEFAULT_TOP_K = 4
@@ -25,6 +26,8 @@ def _ranked(found: DataFrame, key: str, score: str, tie: str, k: int) -> DataFra
 
 
 VECTOR_BYTES = "size(embedding) * 8 + 64"
+#: Bytes of the smaller side that may be sent to all tasks; beyond it both meet in the cells of a metric.
+BROADCAST_BYTES = 128 * 1024 * 1024
 
 
 def vector_top_k(
@@ -36,33 +39,40 @@ def vector_top_k(
     query_scope: str | None = None,
     bank_scope: str | None = None,
     bank_is_large: bool = False,
-    **limits: int,
+    broadcast_bytes: int | None = None,
+    **cells: int,
 ) -> DataFrame:
     """Rows (query_id, bank_id, similarity, rank) of the exact k nearest by cosine.
 
-    The large side streams past the small one; ``bank_is_large`` says which is which. With scopes,
-    only bank rows of the query's scope compete.
+    With scopes, only bank rows of the query's scope compete. The bank, or with ``bank_is_large`` the
+    queries, are summed up first: if they are under ``broadcast_bytes`` the other side streams past
+    them, otherwise both go through ``neighbours.nearest``, which takes ``cells``.
     """
-    q = queries.select(query_id, "embedding", *([query_scope] if query_scope else []))
-    b = bank.select(bank_id, "embedding", *([bank_scope] if bank_scope else []))
+    one = F.lit(0)
+    q = queries.select(query_id, "embedding", (F.col(query_scope) if query_scope else one).alias("_scope"))
+    b = bank.select(bank_id, "embedding", (F.col(bank_scope) if bank_scope else one).alias("_scope"))
     q, b = q.where("embedding is not null"), b.where("embedding is not null")
+    if query_scope:
+        q, b = q.where("_scope is not null"), b.where("_scope is not null")
     id_types = [df.schema[c].dataType.simpleString() for df, c in ((q, query_id), (b, bank_id))]
     schema = f"{query_id} {id_types[0]}, {bank_id} {id_types[1]}, similarity double"
-
-    def rank_in_bank(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        return vectors.top_k(batch, held, query_id, bank_id, k, query_scope, bank_scope)
-
-    def rank_for_queries(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        return vectors.top_k(held, batch, query_id, bank_id, k, query_scope, bank_scope)
-
-    if bank_is_large:
-        found, _ = score_blocks(
-            b, q, bank_id, query_id, rank_for_queries, schema, F.expr(VECTOR_BYTES), **limits
-        )
+    small, large = (q, b) if bank_is_large else (b, q)
+    size = small.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.expr(VECTOR_BYTES)).alias("bytes")).first()
+    if not size["rows"]:
+        found = q.sparkSession.createDataFrame([], schema)
+    elif size["bytes"] <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
+        held = q.sparkSession.sparkContext.broadcast(small.toPandas())
+
+        def stream(batches):
+            for batch in batches:
+                if len(batch):
+                    left, right = (held.value, batch) if bank_is_large else (batch, held.value)
+                    yield vectors.top_k(left, right, query_id, bank_id, k, "_scope", "_scope")
+
+        found = large.mapInPandas(stream, schema)
     else:
-        found, _ = score_blocks(
-            q, b, query_id, bank_id, rank_in_bank, schema, F.expr(VECTOR_BYTES), **limits
-        )
+        members = b.count() if bank_is_large else size["rows"]
+        found = nearest(q, b, query_id, bank_id, k, members, **cells)
     return _ranked(found, query_id, "similarity", bank_id, k)
 
 
