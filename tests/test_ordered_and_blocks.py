@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gradus.operators import blocks, graph, node_mapping, ordered, retrieval, textbook
+from gradus.operators import blocks, graph, node_mapping, ordered, retrieval, substrings, textbook
 
 SMALL = {"broadcast_bytes": 0, "block_rows": 7}
 
@@ -112,7 +112,7 @@ def test_zero_vectors_match_nothing(spark):
     assert retrieval.vector_top_k(q, bank, "qid", "bid", 1).count() == 0
 
 
-def test_keyword_search(spark):
+def test_keyword_search(spark, monkeypatch):
     chunks = spark.createDataFrame(
         [("c1", "Hàm số BẬC hai", "s1"), ("c2", "đạo hàm", "s2"), ("c3", "khác", "s1"), ("c4", "bậc", "s2")],
         "chunk_id string, content string, skill_id string",
@@ -121,7 +121,9 @@ def test_keyword_search(spark):
         [(1, "hàm bậc bậc", None), (2, "", None), (3, "hàm", "S2")],
         "id bigint, query string, skill_id string",
     )
-    for options in ({}, SMALL):
+    for options, limit in (({}, 0), ({"broadcast_bytes": 0}, 500_000), ({"broadcast_bytes": 0}, 0)):
+        monkeypatch.setattr(substrings, "BROADCAST_GRAMS", limit)
+        monkeypatch.setattr(retrieval, "BROADCAST_GRAMS", limit)
         got = retrieval.keyword_top_k(asked, chunks, "id", skill="skill_id", k=2, **options)
         assert rows(got, "id", "chunk_id", "score", "rank") == [
             (1, "c1", 1.0, 1), (1, "c4", pytest.approx(2 / 3), 2),
@@ -181,3 +183,21 @@ def test_attach_dimension_in_blocks(spark, monkeypatch, limit):
     dimension = spark.range(10).withColumnRenamed("id", "v")
     got = blocks.attach_dimension(keys, dimension, "all").select("k", F.explode("all.v").alias("v"))
     assert rows(got) == sorted([(k, v) for k in range(4) for v in range(10)], key=repr)
+
+
+def test_phrases_in_texts(spark):
+    rng = np.random.default_rng(4)
+    letters = list("abc d\n")
+    made = ["".join(rng.choice(letters, size=rng.integers(1, 12))) for _ in range(60)]
+    phrases = sorted({t[i : i + n] for t in made for i in (0, 2) for n in (1, 2, 3, 5) if t[i : i + n]} | {"zzz", "q"})
+    texts = spark.createDataFrame([(t,) for t in sorted(set(made))], "text string")
+    got = substrings.containing(texts, "text", spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+    assert rows(got) == sorted(((t, p) for t in set(made) for p in phrases if p in t), key=repr)
+
+
+def test_registered_keyword_search_by_index(spark, monkeypatch):
+    from tools.check import compare, connect
+
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
+    text, ok = compare(spark, connect("/root/testdata/sf0.001"), "/root/testdata/sf0.001", "keyword_search")
+    assert ok, text
