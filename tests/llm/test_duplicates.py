@@ -101,7 +101,18 @@ def variants(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("source", [table, documents, variants])
+def drifting(spark):
+    """Each line is similar to the ones just before it and to none far away: not to its word's leaders."""
+    rows = []
+    for series in range(3):
+        words = [f"s{series}w{k}" for k in range(40)]
+        for step in range(60):
+            words[(7 * step) % 40] = f"s{series}x{step}"
+            rows.append((series * 100 + step, " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("source", [table, documents, variants, drifting])
 def test_lines(spark, source):
     df = source(spark)
     given = {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect() if r.doc_id is not None}
@@ -220,7 +231,18 @@ def test_short_lines_that_repeat(spark):
     assert {(r.doc_id, r.line): r.near for r in removed.collect()} == {(2, 5): True}
 
 
-@pytest.mark.parametrize("source", [table, documents, variants])
+def drifting(spark):
+    """Each line is similar to the ones just before it and to none far away: not to its word's leaders."""
+    rows = []
+    for series in range(3):
+        words = [f"s{series}w{k}" for k in range(40)]
+        for step in range(60):
+            words[(7 * step) % 40] = f"s{series}x{step}"
+            rows.append((series * 100 + step, " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("source", [table, documents, variants, drifting])
 def test_lines_against_all_pairs(spark, source):
     """All lines with a word, whatever the constants of the module are."""
     df = source(spark)
@@ -260,3 +282,12 @@ def test_likeness_of_unrelated_texts():
     pair = [fingerprints.Prefixes.of(chr(97 + k) * 5000) for k in range(2)]
     assert fingerprints.likeness(*pair) == 0
     assert fingerprints.likeness(fingerprints.Prefixes.of("short"), pair[0]) == 0
+
+
+def test_line_pieces_and_rounds(spark, monkeypatch):
+    """Texts in pieces, one earlier line in a round, and arrays of earlier lines from the first on."""
+    for name, value in (("BLOCK_BYTES", 50), ("FIRST_ROUND", 1), ("BROADCAST_LINES", 0), ("PICK_LIMIT", 0)):
+        monkeypatch.setattr(lines, name, value)
+    monkeypatch.setattr(lines._Earlier, "FEW", 2)
+    for source in (drifting, variants, table):
+        test_lines(spark, source)
