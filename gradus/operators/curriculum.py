@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.text import is_blank, stable_id, strip
-from gradus.operators.ordered import bucket_of, dense_index
+from gradus.operators.ordered import bucket_of, dense_index, running_sum
 from gradus.session import stacked
 
 # Defaults of missing metadata.
@@ -217,6 +217,7 @@ def chunks_by_hash(sources: DataFrame, chunks: DataFrame, hashes: DataFrame) ->
 # Names and texts of the roll-up, numbers of chunks shown, weight of a pattern.
 DEFAULT_LESSON = "Bài 1: Nội dung trọng tâm"
 DEFAULT_PATTERN = "Dạng 1: Kiến thức & Kỹ năng cốt lõi"
+PAGES_AT_ONCE = 16
 SHOWN = {"THEORY": 4, "EXAMPLE": 2, "EXERCISE": 2}
 EXAMPLES_TITLE = "\n### 📌 Ví dụ minh họa SGK:\n"
 EXERCISES_TITLE = "\n### 📄 Bài toán mẫu áp dụng phương pháp:\n"
@@ -233,16 +234,12 @@ def _or_default(column: str, default: Column) -> Column:
     return F.when(is_blank(F.col(column)), default).otherwise(F.col(column))
 
 
-def roll_up(chunks: DataFrame) -> DataFrame:
-    """One row per source, chapter, lesson and pattern, in the order they first appear, with
-    weights, page span, recap and method. Only the few chunks shown of a group are brought together;
-    the rank filter drops the others before the shuffle.
-    """
+def _placed(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, books): chunks under the names that the roll-up gives them, and each source's book."""
     place = F.struct("page_number", "chunk_index")
     firsts = chunks.groupBy("source_id").agg(
         F.min_by(F.struct("subject_name", "grade", "book_edition"), place).alias("_book")
     )
-    keys = ["source_id", "chapter", "lesson", "pattern"]
     rows = chunks.join(firsts, "source_id").select(
         "source_id",
         _or_default(
@@ -260,6 +257,42 @@ def roll_up(chunks: DataFrame) -> DataFrame:
         .alias("_kind"),
         F.concat(F.lit("**[Trang "), "page_number", F.lit("]** "), "text", F.lit("\n")).alias("_part"),
     )
+    return rows, firsts
+
+
+def roll_up_sections(chunks: DataFrame, shown: dict[str, int] | None = None) -> DataFrame:
+    """Every chunk as a row of its section: source, chapter, lesson, pattern, kind, its rank in order of
+    pages, its part of the text, and the characters of the section up to and including it.
+
+    Nothing is cut or brought together, so a section may have any number of chunks. ``shown`` keeps the
+    first so many of a kind, and kinds it does not name fall away.
+    """
+    rows, _ = _placed(chunks)
+    keys = ["source_id", "chapter", "lesson", "pattern", "_kind"]
+    sized = running_sum(
+        rows,
+        keys,
+        [F.col("page_number"), F.col("chunk_index")],
+        bucket_of(F.col("page_number"), PAGES_AT_ONCE),
+        {"section_rank": F.lit(1).cast("bigint"), "chars_so_far": F.length("_part").cast("bigint")},
+    )
+    if shown is not None:
+        limit = F.coalesce(*[F.when(F.col("_kind") == kind, n) for kind, n in shown.items()], F.lit(0))
+        sized = sized.where(F.col("section_rank") <= limit)
+    return sized.select(
+        *keys[:-1], F.col("_kind").alias("kind"), "page_number", "chunk_index", "section_rank",
+        F.col("_part").alias("part"), "chars_so_far",
+    )
+
+
+def roll_up(chunks: DataFrame, shown: dict[str, int] = SHOWN) -> DataFrame:
+    """One row per source, chapter, lesson and pattern, in the order they first appear, with
+    weights, page span, recap and method. Only the few chunks ``shown`` of a kind are brought together;
+    the rank filter drops the others before the shuffle. ``roll_up_sections`` has all of them as rows.
+    """
+    place = F.struct("page_number", "chunk_index")
+    keys = ["source_id", "chapter", "lesson", "pattern"]
+    rows, firsts = _placed(chunks)
     groups = rows.groupBy(*keys).agg(
         F.min(place).alias("_at"),
         F.min_by("_part", place).alias("_fallback"),
@@ -269,14 +302,11 @@ def roll_up(chunks: DataFrame) -> DataFrame:
         F.max("page_number").alias("_high"),
     )
     in_order = Window.partitionBy(*keys, "_kind").orderBy("page_number", "chunk_index")
-    shown = (
-        rows.where(F.col("_kind").isin(*SHOWN))
+    kept = (
+        rows.where(F.col("_kind").isin(*shown))
         .withColumn("_rank", F.row_number().over(in_order))
-        .where(F.col("_rank") <= max(SHOWN.values()))
-        .where(
-            F.col("_rank")
-            <= F.when(F.col("_kind") == "THEORY", SHOWN["THEORY"]).otherwise(SHOWN["EXAMPLE"])
-        )
+        .where(F.col("_rank") <= max(shown.values()))
+        .where(F.col("_rank") <= F.coalesce(*[F.when(F.col("_kind") == kind, n) for kind, n in shown.items()]))
     )
 
     def listed(kind: str, tail: str) -> Column:
@@ -284,7 +314,7 @@ def roll_up(chunks: DataFrame) -> DataFrame:
         parts = F.transform(F.sort_array(mine), lambda p: F.concat(p["_part"], F.lit(tail)))
         return F.array_join(parts, "").alias(f"_{kind.lower()}")
 
-    texts = shown.groupBy(*keys).agg(
+    texts = kept.groupBy(*keys).agg(
         listed("THEORY", "\n"), listed("EXAMPLE", "\n"), listed("EXERCISE", "")
     )
     lessons = groups.groupBy("source_id", "chapter", "lesson").agg(

@@ -49,6 +49,20 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return ops.hash_uploads(texts)[0].select("doc_id", "file_hash")
 
 
+@query(
+    "byte_hash",
+    """SELECT doc_id, octet_length(encode(text)) AS length, sha256(encode(text)) AS file_hash
+FROM documents WHERE text <> ''""",
+)
+def byte_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Hash of the raw bytes of each document, white space and all, as of a file that is uploaded."""
+    raw = F.col("text").cast("binary")
+    files = table(spark, d, "documents").select(
+        "doc_id", F.octet_length(raw).cast("bigint").alias("length"), raw.alias("content")
+    )
+    return ops.hash_files(files).drop("content")
+
+
 @query(
     "version_decisions",
     f"""WITH {views.DECISIONS}

@@ -307,6 +307,27 @@ def curriculum_roll_up(spark: SparkSession, d: str) -> DataFrame:
     return ops.roll_up(_chunks(spark, d))
 
 
+@query(
+    "curriculum_sections",
+    f"""WITH {_CHUNKS},
+book AS (SELECT source_id, arg_min(struct_pack(n := subject_name, g := grade),
+                                   struct_pack(p := page_number, i := chunk_index)) AS b FROM chunks GROUP BY source_id),
+named AS (
+  SELECT source_id, page_number, chunk_index,
+    CASE WHEN coalesce(trim(chapter_name), '') = '' THEN 'Chương 1: ' || b.n || ' Lớp ' || b.g ELSE chapter_name END AS chapter,
+    CASE WHEN coalesce(trim(lesson_name), '') = '' THEN '{ops.DEFAULT_LESSON}' ELSE lesson_name END AS lesson,
+    CASE WHEN coalesce(trim(pattern_name), '') = '' THEN '{ops.DEFAULT_PATTERN}' ELSE pattern_name END AS pattern,
+    CASE WHEN section_type IN ('THEORY', 'FORMULA', 'PASSAGE') THEN 'THEORY' ELSE section_type END AS kind,
+    '**[Trang ' || page_number || ']** ' || text || chr(10) AS part
+  FROM chunks JOIN book USING (source_id))
+SELECT *, row_number() OVER w AS section_rank, CAST(sum(length(part)) OVER w AS BIGINT) AS chars_so_far
+FROM named WINDOW w AS (PARTITION BY source_id, chapter, lesson, pattern, kind ORDER BY page_number, chunk_index)""",
+)
+def curriculum_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk of the curriculum in its section, whole."""
+    return ops.roll_up_sections(_chunks(spark, d))
+
+
 @query(
     "curriculum_totals",
     f"""WITH {_CHUNKS} SELECT source_id, count(DISTINCT page_number) AS total_pages,

@@ -177,3 +177,18 @@ def test_batch_killed_between_its_writes(spark, tmp_path):
         mark.unlink()
     run()
     assert store.version() == version and jobs.ingested_chunks(store, schema).count() == 3
+
+
+def test_hash_of_files_as_they_are(spark):
+    import glob
+    import hashlib
+
+    from gradus.sources.tables import file_bytes
+
+    pattern = "/root/testdata/sf0.001/*.parquet"
+    want = {}
+    for path in glob.glob(pattern):
+        with open(path, "rb") as file:
+            want[path] = hashlib.sha256(file.read()).hexdigest()
+    hashed = ops.hash_files(file_bytes(spark, pattern)).collect()
+    assert {r["path"].removeprefix("file:"): r["file_hash"] for r in hashed} == want

@@ -120,3 +120,27 @@ def test_pattern_dedupe(spark):
     )
     kept = curriculum.merge_pattern_questions(patterns, questions)
     assert rows(kept, "position", "question_no", "content") == [(1, 1, "a"), (1, 2, "a"), (2, 2, "b")]
+
+
+def test_sections_hold_every_chunk_in_order(spark):
+    data = [
+        ("s", page, page * 10 + k, f"text {page}/{k}", "Toán", 10, "Cánh diều", "C", None if k else "L", "P", kind, 0)
+        for page in range(1, 60)
+        for k, kind in enumerate(["THEORY", "EXAMPLE", "FORMULA", "COVER"])
+    ]
+    chunks = spark.createDataFrame(
+        data,
+        "source_id string, page_number int, chunk_index int, text string, subject_name string, grade int, "
+        "book_edition string, chapter_name string, lesson_name string, pattern_name string, section_type string, diagrams int",
+    )
+    got = curriculum.roll_up_sections(chunks).collect()
+    assert len(got) == len(data)
+    sections = {}
+    for r in sorted(got, key=lambda r: (r.page_number, r.chunk_index)):
+        ranks, chars = sections.setdefault((r.lesson, r.kind), [0, 0])
+        sections[r.lesson, r.kind] = [ranks + 1, chars + len(r.part)]
+        assert [r.section_rank, r.chars_so_far] == sections[r.lesson, r.kind]
+    some = curriculum.roll_up_sections(chunks, {"THEORY": 3, "EXAMPLE": 1}).collect()
+    assert len(some) == 2 * 3 + 1  # theory under two lessons, examples under one
+    wide = curriculum.roll_up(chunks, {"THEORY": 1000, "EXAMPLE": 1000, "EXERCISE": 1000}).collect()
+    assert sum(r.theory_recap.count("[Trang") for r in wide) >= 59 * 3
