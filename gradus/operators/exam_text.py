@@ -1,7 +1,7 @@
 """Exam text to question and passage tables.
 
 ``exams``: exam_id, text, total_pages. A text is cut, inside its own row, where a question starts;
-the pieces are then exploded and numbered per exam. Windows run over the pieces of one text only.
+the pieces are then exploded with their number and page.
 
 A question starts at a line "Câu n", "Question n" or "n." followed by text. A bare number with
 nothing after it on any later line, which the reference takes at the very start of a text, is not
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.text import strip
-from gradus.session import checkpointed
+from gradus.session import checkpointed, stacked
 
 # Private-use glyphs of exam fonts and the LaTeX they stand for.
 GLYPHS = {
@@ -73,14 +73,18 @@ PASSAGE_OPENERS = (
     "Dựa (?:vào|theo) (?:các )?(?:thông tin|đoạn trích|văn bản|dữ liệu|dãy điện hóa)"
     "|Đọc (?:đoạn trích|văn bản|thông tin)"
 )
+BODY_END_OPENERS = (
+    "Dựa (?:vào|theo) (?:các )?(?:thông tin|đoạn trích|văn bản|dữ liệu)"
+    "|Đọc (?:đoạn trích|văn bản|thông tin)"
+)
 PASSAGE_RANGE = r"(?:câu(?:\s+hỏi)?\s+từ|từ\s+câu)\s+(\d+)\s+(?:đến|[-–])\s+(\d+)"
 ENGLISH_RANGE = r"Questions?\s+(\d+)\s*[-–to]+\s*(\d+)"
 
-_CUT = "\u0001"
+_CUT, _PAGE = "\u0001", "\u0002"
 _QUESTION_LINE = rf"\s*(?:(?:{QUESTION_WORDS})\s+\d+|\d{{1,3}}\s*[.:]\s+[^\n])"
 _QUESTION = rf"(?iu)^\s*(?:(?:{QUESTION_WORDS})\s+(\d+)|(\d{{1,3}})\s*[.:])\s*[:.]?\s*"
 _BODY_END = (
-    rf"(?isu)(?:\n\s*(?:{PASSAGE_OPENERS}|Questions?\s+\d+\s*[-–to]+\s*\d+)|{END_MARK}).*$"
+    rf"(?isu)(?:\n\s*(?:{BODY_END_OPENERS}|Questions?\s+\d+\s*[-–to]+\s*\d+)|{END_MARK}).*$"
 )
 _PASSAGE = (
     rf"(?isu)(?:(?:{PASSAGE_OPENERS})[^0-9\n]{{0,80}}?{PASSAGE_RANGE}|{ENGLISH_RANGE})[^\n]*\n(.*)$"
@@ -116,18 +120,42 @@ def _without_marks(text: Column) -> Column:
 def pieces(exams: DataFrame) -> DataFrame:
     """Text cut before each question: (exam_id, pos, piece, page_number). Piece 0 is what is before
     the first question. A piece is on the page of the last mark before it, page 1 without one.
+
+    All is done within the text's row: it is split at the page marks, each part is cut with its page's
+    number before each piece, and the parts are put together again, so that a piece may go on over marks.
     """
     unix = F.regexp_replace(F.regexp_replace("text", r"\r\n|\r", "\n"), r"\n{2,}", "\n")
-    cut = F.split(F.regexp_replace(unix, rf"(?iu)(?:^|\n)(?={_QUESTION_LINE})", _CUT), _CUT)
-    rows = exams.select("exam_id", F.posexplode(cut).alias("pos", "piece"))
-    marks = F.regexp_extract_all("piece", F.lit(PAGE_MARK), F.lit(1))
-    before = Window.partitionBy("exam_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.get(marks, F.size(marks) - 1).try_cast("int")
-    return rows.withColumn("_mark", last).select(
+    numbers = F.transform(
+        F.regexp_extract_all(unix, F.lit(PAGE_MARK), F.lit(1)), lambda n: F.coalesce(n.try_cast("int"), F.lit(1))
+    )
+    marked = exams.select(
+        "exam_id",
+        F.split(unix, PAGE_MARK).alias("_parts"),
+        F.concat(F.array(F.lit("")), F.regexp_extract_all(unix, F.lit(PAGE_MARK), F.lit(0))).alias("_marks"),
+        F.concat(F.array(F.lit(1)), numbers).alias("_pages"),
+    )
+    parts = F.transform(
+        F.arrays_zip("_parts", "_marks", "_pages"),
+        lambda p: F.concat(
+            p["_marks"],
+            F.regexp_replace(
+                p["_parts"],
+                F.lit(rf"(?iu)\n(?={_QUESTION_LINE})"),
+                F.concat(F.lit(_CUT), p["_pages"].cast("string"), F.lit(_PAGE)),
+            ),
+        ),
+    )
+    # A text may also begin with a question.
+    start = F.regexp_replace(F.array_join(parts, ""), rf"(?iu)^(?={_QUESTION_LINE})", f"{_CUT}1{_PAGE}")
+    rows = marked.select("exam_id", F.posexplode(F.split(start, _CUT)).alias("pos", "_cut"))
+    page = F.instr("_cut", _PAGE)
+    return rows.select(
         "exam_id",
         "pos",
-        "piece",
-        F.coalesce(F.last("_mark", ignorenulls=True).over(before), F.lit(1)).alias("page_number"),
+        F.when(F.col("pos") == 0, F.col("_cut")).otherwise(F.expr(f"substring(_cut, instr(_cut, '{_PAGE}') + 1)")).alias("piece"),
+        F.when(F.col("pos") == 0, 1)
+        .otherwise(F.substring("_cut", F.lit(1), page - 1).cast("int"))
+        .alias("page_number"),
     )
 
 
@@ -187,6 +215,28 @@ def question_candidates(cut: DataFrame) -> DataFrame:
     return split_options(rows.where(F.col("question_number").between(1, MAX_QUESTION)))
 
 
+def rejects(cut: DataFrame) -> DataFrame:
+    """What the limits of the layout set aside: (exam_id, pos, kind, first, last, reason).
+
+    A question outside 1 to ``MAX_QUESTION``, and a passage that is announced backwards or for more
+    than ``MAX_PASSAGE_SPAN`` numbers after its first. Numbers too long to read are null.
+    """
+    number = F.regexp_extract("piece", _QUESTION, 1)
+    number = F.when(number != "", number).otherwise(F.regexp_extract("piece", _QUESTION, 2))
+    asked = cut.where(F.col("piece").rlike(_QUESTION)).select(
+        "exam_id", "pos", F.lit("QUESTION").alias("kind"), number.try_cast("int").alias("first"),
+        F.lit(None).cast("int").alias("last"), F.lit("NUMBER_OUT_OF_RANGE").alias("reason"),
+    )
+    told = _announced(cut).select(
+        "exam_id", "pos", F.lit("PASSAGE").alias("kind"), F.col("start_question").alias("first"),
+        F.col("end_question").alias("last"),
+        F.when(F.col("end_question") < F.col("start_question"), "BACKWARDS").otherwise("SPAN_TOO_LONG").alias("reason"),
+    )
+    known = F.coalesce(F.col("first").between(1, MAX_QUESTION), F.lit(False))
+    span = F.coalesce((F.col("last") - F.col("first")).between(0, MAX_PASSAGE_SPAN), F.lit(False))
+    return stacked(asked.where(~known), told.where(~span))
+
+
 def questions(cut: DataFrame) -> DataFrame:
     """First occurrence of each number. Bare numbers need options A and B, else they do not count;
     an empty body does count, and the number stays without a question.
@@ -209,24 +259,28 @@ def questions(cut: DataFrame) -> DataFrame:
     )
 
 
-def passages(cut: DataFrame) -> DataFrame:
-    """Passages announced for a range of questions: (exam_id, pos, start_question, end_question,
-    content). The text runs to the next question.
-    """
+def _announced(cut: DataFrame) -> DataFrame:
+    """(exam_id, pos, start_question, end_question, content) of every passage, whatever its range."""
 
     def group(a: int, b: int) -> Column:
         one, other = F.regexp_extract("piece", _PASSAGE, a), F.regexp_extract("piece", _PASSAGE, b)
         return F.when(one != "", one).otherwise(other).try_cast("int")
 
-    rows = cut.where(F.col("piece").rlike(_PASSAGE)).select(
+    return cut.where(F.col("piece").rlike(_PASSAGE)).select(
         "exam_id",
         "pos",
         group(1, 3).alias("start_question"),
         group(2, 4).alias("end_question"),
         _without_marks(F.regexp_extract("piece", _PASSAGE, 5)).alias("content"),
     )
+
+
+def passages(cut: DataFrame) -> DataFrame:
+    """Passages announced for a range of questions: (exam_id, pos, start_question, end_question,
+    content). The text runs to the next question.
+    """
     span = F.col("end_question") - F.col("start_question")
-    return rows.where(span.between(0, MAX_PASSAGE_SPAN))
+    return _announced(cut).where(span.between(0, MAX_PASSAGE_SPAN))
 
 
 def parse(exams: DataFrame) -> dict[str, DataFrame]:

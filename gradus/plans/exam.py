@@ -145,6 +145,22 @@ def exam_passages(spark: SparkSession, d: str) -> DataFrame:
     return exam_text.parse(views.exam_texts(spark, d))["passages"]
 
 
+@query(
+    "exam_rejects",
+    f"""WITH {_PARSE}
+SELECT exam_id, CAST(pos AS INTEGER) AS pos, 'QUESTION' AS kind, question_number AS first, CAST(NULL AS INTEGER) AS last,
+       'NUMBER_OUT_OF_RANGE' AS reason
+FROM bodies WHERE NOT coalesce(question_number BETWEEN 1 AND 500, false)
+UNION ALL
+SELECT exam_id, CAST(pos AS INTEGER), 'PASSAGE', start_question, end_question,
+       CASE WHEN end_question < start_question THEN 'BACKWARDS' ELSE 'SPAN_TOO_LONG' END
+FROM told WHERE NOT coalesce(end_question - start_question BETWEEN 0 AND 25, false)""",
+)
+def exam_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Questions and passages that the limits of the layout set aside."""
+    return exam_text.rejects(exam_text.pieces(views.exam_texts(spark, d)))
+
+
 @query(
     "exam_totals",
     f"""WITH {_PARSE}

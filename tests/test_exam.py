@@ -192,3 +192,38 @@ def test_assembly(spark):
     assert got[3] == [i % 5 for i in range(99)]
     assert item_bank.assemble(requests, bank, most=50).where("request_id = 3").count() == 50
     assert got[4] == [0, 1, 2, 0, 1]
+
+
+def test_rejects_and_ends_of_bodies(spark):
+    text = """Câu 1. Một
+A. a
+B. b
+Dựa vào dãy điện hóa này, chọn đáp án
+C. c
+Câu 501. Quá lớn
+A. a B. b
+Câu 99999999999. Không đọc được
+Câu 2. Hai
+Dựa vào thông tin sau, trả lời câu hỏi từ 9 đến 2
+ngược
+Câu 3. Ba --- PAGE_4 --- còn nữa
+Đọc văn bản và trả lời câu hỏi từ 4 đến 40
+dài
+--- PAGE_5 ---
+Câu 4. Bốn
+A. x
+B. y"""
+    exam = spark.createDataFrame([("e", text, 1)], "exam_id string, text string, total_pages int")
+    cut = exam_text.pieces(exam)
+    assert [r["page_number"] for r in cut.orderBy("pos").collect()] == [1, 1, 1, 1, 1, 1, 5]
+    got = exam_text.rejects(cut)
+    assert rows(got, "pos", "kind", "first", "last", "reason") == [
+        (2, "QUESTION", 501, None, "NUMBER_OUT_OF_RANGE"),
+        (3, "QUESTION", None, None, "NUMBER_OUT_OF_RANGE"),
+        (4, "PASSAGE", 9, 2, "BACKWARDS"),
+        (5, "PASSAGE", 4, 40, "SPAN_TOO_LONG"),
+    ]
+    q = {r["question_number"]: r for r in exam_text.questions(cut).collect()}
+    # An electrochemical series opens a passage, and does not end a question's body.
+    assert "dãy điện hóa" in q[1]["option_b"] and q[1]["option_c"] == "c"
+    assert sorted(q) == [1, 2, 3, 4] and q[3]["content"].startswith("Ba") and "PAGE" not in q[3]["content"]
