@@ -623,6 +623,52 @@ def match_nodes(pages: DataFrame, nodes: DataFrame, **limits: int) -> DataFrame:
 
 
 PAGES_PER_BUCKET = 512
+BUCKETS_PER_GROUP = 512
+
+
+def _grouped(ends: DataFrame) -> DataFrame:
+    """(source_id, _group, _start, _chain): the grade functions of a group's buckets, in order."""
+    return ends.groupBy(
+        "source_id", F.floor(F.col("_bucket") / BUCKETS_PER_GROUP).cast("bigint").alias("_group")
+    ).agg(
+        F.min("_start").alias("_start"),
+        F.sort_array(
+            F.collect_list(F.struct("_bucket", F.map_entries("_ends").alias("_ends")))
+        ).alias("_chain"),
+    )
+
+
+def _composed(groups: DataFrame) -> DataFrame:
+    """(source_id, _bucket, _start, _ends): each group as one function, where it takes every grade."""
+    grades = F.transform(F.col("_chain")[0]["_ends"], lambda e: e["key"])
+    through = F.transform(
+        grades,
+        lambda g: F.aggregate(
+            "_chain", g, lambda at, b: F.element_at(F.map_from_entries(b["_ends"]), at)
+        ),
+    )
+    return groups.select(
+        "source_id", F.col("_group").alias("_bucket"), "_start", F.map_from_arrays(grades, through).alias("_ends")
+    )
+
+
+def _handed_down(groups: DataFrame) -> DataFrame:
+    """(source_id, _bucket, _grade): the grade that each bucket of a group starts with, from the
+    ``_grade`` that the group starts with."""
+    empty = F.array().cast("array<struct<_bucket:bigint,_grade:int>>")
+    starts = F.aggregate(
+        "_chain",
+        F.struct(F.col("_grade").alias("grade"), empty.alias("starts")),
+        lambda acc, b: F.struct(
+            F.element_at(F.map_from_entries(b["_ends"]), acc["grade"]).alias("grade"),
+            F.concat(
+                acc["starts"],
+                F.array(F.struct(b["_bucket"].alias("_bucket"), acc["grade"].alias("_grade"))),
+            ).alias("starts"),
+        ),
+        lambda acc: acc["starts"],
+    )
+    return groups.select("source_id", starts.alias("_starts")).select("source_id", F.inline("_starts"))
 
 
 def running_grades(steps: DataFrame, bucket_pages: int = PAGES_PER_BUCKET) -> DataFrame:
@@ -631,8 +677,9 @@ def running_grades(steps: DataFrame, bucket_pages: int = PAGES_PER_BUCKET) -> Da
     ``steps``: source_id, page_number, start_grade, tag_grade, moves (map of running grade to the
     grade a match leaves; -1 for grades not listed). A page is a function from grade to grade, and
     a run of pages is again one. So each bucket of pages is reduced to where it takes every grade
-    that can occur, the few buckets of a source are chained, and the pages of a bucket are then
-    walked from the grade it starts with. Returns (source_id, page_number, grade_read, grade).
+    that can occur, buckets to groups and groups to groups of groups in the same way, so that no row
+    holds more than a group's functions however many pages a source has. The grades they start with
+    are handed down again, and the pages of a bucket are walked from its own. Returns (source_id, page_number, grade_read, grade).
     """
 
     def read(grade: Column, page: Column) -> Column:
@@ -682,28 +729,14 @@ def running_grades(steps: DataFrame, bucket_pages: int = PAGES_PER_BUCKET) -> Da
             "_grades", F.transform("_grades", lambda g: walk(g, F.col("_pages")))
         ).alias("_ends"),
     )
-    chained = ends.groupBy("source_id").agg(
-        F.min("_start").alias("_start"),
-        F.sort_array(
-            F.collect_list(F.struct("_bucket", F.map_entries("_ends").alias("_ends")))
-        ).alias("_chain"),
-    )
-    empty = F.array().cast("array<struct<_bucket:bigint,_grade:int>>")
-    starts = chained.select(
-        "source_id",
-        F.aggregate(
-            "_chain",
-            F.struct(F.col("_start").alias("grade"), empty.alias("starts")),
-            lambda acc, b: F.struct(
-                F.element_at(F.map_from_entries(b["_ends"]), acc["grade"]).alias("grade"),
-                F.concat(
-                    acc["starts"],
-                    F.array(F.struct(b["_bucket"].alias("_bucket"), acc["grade"].alias("_grade"))),
-                ).alias("starts"),
-            ),
-            lambda acc: acc["starts"],
-        ).alias("_starts"),
-    ).select("source_id", F.inline("_starts"))
+    # Buckets in groups, groups in groups of groups: page numbers are ints, so the third level is one row.
+    first = _grouped(ends)
+    second = _grouped(_composed(first))
+    third = _grouped(_composed(second))
+    starts = _handed_down(third.withColumn("_grade", F.col("_start")))
+    for level in (second, first):
+        above = starts.withColumnRenamed("_bucket", "_group")
+        starts = _handed_down(level.join(above, ["source_id", "_group"]))
     none = F.array().cast("array<struct<page_number:int,grade_read:int,grade:int>>")
     walked = buckets.join(starts, ["source_id", "_bucket"]).select(
         "source_id",

@@ -54,7 +54,9 @@ def test_preceding_rows(series):
     assert rows(got, "k", "t", "h") == rows(want, "k", "t", "h")
 
 
-def test_running_grades_by_buckets(spark):
+@pytest.mark.parametrize("fan", [512, 3])
+def test_running_grades_by_buckets(spark, monkeypatch, fan):
+    monkeypatch.setattr(textbook, "BUCKETS_PER_GROUP", fan)
     rng = np.random.default_rng(5)
     data, want = [], []
     for source, n in (("x", 60), ("y", 3)):
