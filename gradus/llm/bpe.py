@@ -136,10 +136,10 @@ def rank_tables(ranks: dict[bytes, int]) -> dict[str, pa.Table]:
 
 
 def connection(tables: dict[str, pa.Table]):
-    """DuckDB in memory, one thread, with the vocabulary's tables."""
+    """DuckDB in memory, one thread, nothing on the worker's disk, with the vocabulary's tables."""
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
     for name, table in tables.items():
         con.register("given", table)
         con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")

@@ -186,6 +186,11 @@ def train(labelled: list, seed: int = 7) -> tuple[list[str], Network | None]:
     return languages, network
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; digits above or below the line and numerals are none."""
+    return any(map(str.isalpha, text))
+
+
 def identify(
     df: DataFrame,
     allowed: Column,
@@ -199,14 +204,11 @@ def identify(
     languages, network = train(sorted(rows, key=lambda r: (r.lang, r.pieces)))
 
     def tasks(batches):
-        import re
-
-        letter = re.compile(r"[^\W\d_]").search
         for batch in batches:
             for part in slices(batch, 64):
                 texts = part.column(1).to_pylist()
                 named, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                own = [k for k, t in enumerate(texts) if network and t and letter(t)]
+                own = [k for k, t in enumerate(texts) if network and t and has_letter(t)]
                 if own:
                     windows = [windows_of(texts[k]) for k in own]
                     sizes = [len(w) for w in windows]

@@ -27,10 +27,11 @@ MAX_REPEATED = 0.2
 WINDOW = 5
 THRESHOLD = 0.5
 ROUNDS = 25
-#: Where the estimation starts, and a prior that counts as much as the votes: most texts are good,
-#: a rule is rarely wrong on good texts and knows its own kind of bad texts, not every kind.
+#: Where the estimation starts, which counts as one text more and fades with their number: most texts are
+#: good, a rule is rarely wrong on good texts and knows its own kind of bad texts, not every kind.
+#: A weight above 0 makes the start count as so many times all votes.
 START_GOOD, START_YES, START_NO = 0.8, 0.95, 0.4
-PRIOR_WEIGHT = 1.0
+PRIOR_WEIGHT = 0.0
 N_RULES = 8
 
 _BLANKS = " \t\n\x0b\x0c\r"

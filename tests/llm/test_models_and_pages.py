@@ -184,3 +184,8 @@ def test_copies_of_a_named_article_that_differ_in_a_date(spark):
     assert {r.text for r in got if "flat" in r.url} == {text}
     # Deeper down the article holds less than DOMINANT of the text: the date stays, the article too.
     assert {r.text for r in got if "deep" in r.url} == {f"Posted on day {i}\n{text}" for i in range(12)}
+
+
+def test_letters_of_texts():
+    assert language.has_letter("12 é") and language.has_letter("日")
+    assert not language.has_letter("²½Ⅷ 12_3 🎉") and not language.has_letter("")
