@@ -12,7 +12,54 @@ from gradus.plans.catalog import _snapshot_and_chunks
 from gradus.sources.tables import table
 
 
-@query("recursive_chunks")
+def _chunk_level(n: int, separator: str) -> str:
+    """Pieces of the stretches of one level; the small ones side by side as runs of cuts, the others
+    as the stretches of the next level."""
+    return f"""
+p{n} AS (
+  SELECT doc_id, a, i, piece, a + sum(length(piece)) OVER w AS stop, length(piece) >= {chunking.CHUNK_SIZE} AS big
+  FROM (SELECT doc_id, a, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM (
+    SELECT doc_id, a, list_filter(list_transform(string_split(t, {separator}),
+      lambda x, k: CASE WHEN k = 1 THEN x ELSE {separator} || x END), lambda x: x <> '') AS pieces FROM s{n}))
+  WINDOW w AS (PARTITION BY doc_id, a ORDER BY i)),
+r{n} AS (
+  SELECT doc_id, list_concat([min(stop - length(piece))::BIGINT], list(stop::BIGINT ORDER BY i)) AS cuts
+  FROM (SELECT *, sum(big::INT) OVER (PARTITION BY doc_id, a ORDER BY i) AS island FROM p{n})
+  WHERE NOT big GROUP BY doc_id, a, island),
+s{n + 1} AS (SELECT doc_id, (stop - length(piece))::BIGINT AS a, piece AS t FROM p{n} WHERE big)"""
+
+
+_CHUNKED = f"""whole AS (
+  SELECT doc_id, {views.STRIP.format('text')} AS body FROM documents),
+s0 AS (SELECT doc_id, 0::BIGINT AS a, body AS t FROM whole WHERE body <> ''),
+{_chunk_level(0, "repeat(chr(10), 2)")}, {_chunk_level(1, "chr(10)")}, {_chunk_level(2, "' '")},
+runs AS (
+  FROM r0 UNION ALL FROM r1 UNION ALL FROM r2
+  UNION ALL SELECT doc_id, range(a, a + length(t) + 1) AS cuts FROM s3),
+packed AS (
+  SELECT doc_id, cuts, 1::BIGINT AS f,
+         list_filter(range(2, len(cuts) + 1), lambda x: cuts[x] - cuts[1] > {chunking.CHUNK_SIZE})[1] AS o
+  FROM runs
+  UNION ALL
+  SELECT doc_id, cuts, f,
+         list_filter(range(o + 1, len(cuts) + 1), lambda x: cuts[x] - cuts[f] > {chunking.CHUNK_SIZE})[1] AS o
+  FROM (SELECT doc_id, cuts, o, list_filter(range(f + 1, o), lambda x: x = o - 1
+          OR (cuts[o - 1] - cuts[x] <= {chunking.CHUNK_OVERLAP} AND cuts[o] - cuts[x] <= {chunking.CHUNK_SIZE}))[1] AS f
+        FROM packed WHERE o IS NOT NULL)),
+spans AS (
+  SELECT doc_id, cuts[f] AS a, CASE WHEN o IS NULL THEN cuts[len(cuts)] ELSE cuts[o - 1] END AS b FROM packed),
+chunked AS (
+  SELECT doc_id, a, {views.STRIP.format('substring(body, a + 1, b - a)')} AS content
+  FROM spans JOIN whole USING (doc_id))"""
+
+
+@query(
+    "recursive_chunks",
+    f"""WITH RECURSIVE {_CHUNKED}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS chunk_index, content,
+       CAST(length(content) AS INTEGER) AS char_count
+FROM chunked WHERE content <> ''""",
+)
 def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.recursive_chunks(table(spark, d, "documents"), "doc_id")
 

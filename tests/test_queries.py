@@ -27,5 +27,9 @@ def test_query(spark, duck, name):
     assert ok, text
 
 
+def test_every_query_has_sql():
+    assert set(plans.QUERIES) == set(plans.ORACLES)
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
