@@ -193,7 +193,7 @@ def test_lines_that_pass_the_bounds_with_the_first_but_are_not_similar(spark):
 
     def bits(words):
         block = lines.Block([0], [" ".join(words)], ([*one[0]], [*one[1]]))
-        return int(np.bitwise_xor.reduce(np.uint64(1) << (block.words >> np.uint64(58))))
+        return int.from_bytes(block.parities().tobytes(), "little")
 
     base = [f"b{i}" for i in range(20)]
     changed = next(
