@@ -193,18 +193,20 @@ _MADE_SQL = (
 )
 
 
-def _walk(batches, id_type: pa.DataType):
+def _walk(batches):
     """Rows of a sorted partition, each compared with the next; the first and the last as texts."""
     names = ["doc_id", "part", "border", "text", *[n for n, _ in _MADE]]
-    types = [id_type, pa.int32(), pa.int32(), pa.string(), *[t for _, t in _MADE]]
+    kind = None
+    types = [pa.int32(), pa.int32(), pa.string(), *[t for _, t in _MADE]]
     blank = (None,) * len(_MADE)
 
     def emitted(rows):
         columns = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind, *types])], names)
 
     last = None
     for batch in batches:
+        kind = batch.column(0).type
         for chunk in slices(batch):
             rows = []
             for key, text, part in zip(*[c.to_pylist() for c in chunk.columns]):
@@ -219,14 +221,14 @@ def _walk(batches, id_type: pa.DataType):
         yield emitted([(last[0], last[3], 1, last[1], *blank)])
 
 
-def _meet(batches, id_type: pa.DataType):
+def _meet(batches):
     for batch in batches:
         for chunk in slices(batch):
             rows = [
                 (key, *compared(text, Prefixes.of(text), following, Prefixes.of(following)))
                 for key, text, following in zip(*[c.to_pylist() for c in chunk.columns])
             ]
-            types = [id_type, *[t for _, t in _MADE]]
+            types = [chunk.column(0).type, *[t for _, t in _MADE]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", *[n for n, _ in _MADE]]
             )
@@ -237,27 +239,28 @@ def edited(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     docs = df.select(F.col(f"`{id_column}`").alias("doc_id"), text.alias("text"))
     id_sql = docs.schema["doc_id"].dataType.simpleString()
-    id_type = pa.string() if id_sql == "string" else pa.from_numpy_dtype(
-        {"bigint": "int64", "int": "int32", "smallint": "int16"}[id_sql]
-    )
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     walked = checkpointed(
         dealt.withColumn("part", F.spark_partition_id()).mapInArrow(
-            lambda batches: _walk(batches, id_type),
-            f"doc_id {id_sql}, part int, border int, text string, {_MADE_SQL}",
+            _walk, f"doc_id {id_sql}, part int, border int, text string, {_MADE_SQL}"
         )
     )
-    # Two rows of each partition. After the last document comes the first.
-    line = Window.orderBy("part", "border")
+    # The last row of each partition meets the first of the next one; after the last comes the first.
+    # Only the partitions' numbers go through one task, texts are joined by them.
+    line = Window.orderBy("part")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = walked.where("border = 0").select("part")
+    next_part = F.coalesce(F.lead("part").over(line), F.first("part").over(whole))
+    firsts = walked.where("border = 0").select(F.col("part").alias("to"), F.col("text").alias("following"))
     ends = (
-        walked.where(F.col("border").isNotNull())
-        .withColumn("following", F.coalesce(F.lead("text").over(line), F.first("text").over(whole)))
-        .where("border = 1")
+        walked.where("border = 1")
+        .select("doc_id", "text", "part")
+        .join(parts.withColumn("to", next_part), "part")
+        .join(firsts, "to")
         .select("doc_id", "text", "following")
     )
-    met = ends.mapInArrow(lambda batches: _meet(batches, id_type), f"doc_id {id_sql}, {_MADE_SQL}")
+    met = ends.mapInArrow(_meet, f"doc_id {id_sql}, {_MADE_SQL}")
     inside = walked.where(F.col("border").isNull()).select(*met.columns)
     return inside.unionByName(met)
 

@@ -150,18 +150,19 @@ def count_tokens(
                 counts = [counter(t) if t else 0 for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(counts, pa.int64())],
-                    names=[id_column, "n_bytes", "n_tokens"],
+                    names=["id", "n_bytes", "n_tokens"],
                 )
 
-    text = F.col(text_column)
+    text = F.col(f"`{text_column}`")
     narrow = df.select(
-        F.col(id_column),
+        F.col(f"`{id_column}`").alias("id"),
         F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"),
         text.alias("text"),
     )
-    id_type = narrow.schema[id_column].dataType.simpleString()
-    counted = narrow.mapInArrow(tasks, f"`{id_column}` {id_type}, n_bytes bigint, n_tokens bigint")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    id_type = narrow.schema["id"].dataType.simpleString()
+    counted = narrow.mapInArrow(tasks, f"id {id_type}, n_bytes bigint, n_tokens bigint")
+    over = (F.col("n_tokens") > limit).alias("over_limit")
+    return counted.select(F.col("id").alias(id_column), "n_bytes", "n_tokens", over)
 
 
 @query("op10_token_counts")

@@ -16,7 +16,8 @@ treated by its own wrapper.
 
 Nulls and pages without text give an empty text; markup that is not closed ends where its parent
 does, or with the page; an unknown or missing host is a host of its own; repeated rows give repeated
-rows; an empty table gives no rows. Only the three named columns are read.
+rows; an empty table gives no rows. Elements nested deeper than ``LEVELS`` form no levels of their own:
+what they hold belongs to the element at that depth, nothing is lost. Only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BROADCAST_CHARS = 16_000_000
 PARTS = 64
 #: Share of the slots' characters that an element must hold to be entered.
 DOMINANT = 0.8
+#: Levels of a page's tree; trees are walked by recursion.
+LEVELS = 150
 #: Pages on which a constant text must have been seen to count as part of the layout.
 SUPPORT = 5
 
@@ -165,7 +168,7 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], bool, str]]]:
                 node, _, out, _ = stack[-1]
                 digest = hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
                 node.children.append(Node(TEXT, const=digest, size=len(text)))
-                blocks.append((tuple(s[0].tag for s in stack[1:]), out, text))
+                blocks.append((tuple(s[0].tag for s in stack[1 : LEVELS + 1]), out, text))
 
     def close(upto: int):
         flush()
@@ -224,8 +227,11 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], bool, str]]]:
         _, _, out, inside = stack[-1]
         if role == "header":
             role = "" if inside else "out"
-        node = Node(signature, role)
-        stack[-1][0].children.append(node)
+        if len(stack) <= LEVELS:
+            node = Node(signature, role)
+            stack[-1][0].children.append(node)
+        else:
+            node = stack[-1][0]
         if not rest.rstrip().endswith("/") or name not in VOID:
             stack.append((node, name, out or role == "out", inside or role == "article"))
     flush()

@@ -165,6 +165,21 @@ def test_fingerprints(spark, source):
     assert len(prints) == len(set(text_of.values()))
 
 
+@pytest.mark.parametrize("kind", ["decimal(20,0)", "date"])
+def test_fingerprints_by_ids_of_other_types(spark, kind):
+    """Rows meet across the borders of partitions whatever the type of the id."""
+    df = spark.range(40).selectExpr("id", "concat('text ', id, ' of forty') AS text").repartition(7)
+    key = "date_from_unix_date(int(id))" if kind == "date" else f"CAST(id AS {kind})"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = fingerprints.edited(df.selectExpr(f"{key} AS doc_id", "text")).collect()
+        want = fingerprints.edited(df.selectExpr("id AS doc_id", "text")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 40
+    assert {tuple(r)[1:] for r in rows} == {tuple(r)[1:] for r in want}
+
+
 def test_spans_and_extensions():
     text = fingerprints.Prefixes.of("abcabcabcd" * 30)
     other = fingerprints.Prefixes.of("xx" + "abcabcabcd" * 20 + "z")

@@ -189,3 +189,16 @@ def test_copies_of_a_named_article_that_differ_in_a_date(spark):
 def test_letters_of_texts():
     assert language.has_letter("12 é") and language.has_letter("日")
     assert not language.has_letter("²½Ⅷ 12_3 🎉") and not language.has_letter("")
+
+
+def test_pages_nested_without_end(spark):
+    """Elements beyond the levels of the tree keep their texts, in order; no depth fails."""
+    deep = "<html><body>" + "<div>" * 100_000 + "first" + "</div>" * 50_000 + "second"
+    flat = "<html><body><article><p>A text of its own.</p></article></body></html>"
+    rows = [(1, "http://deep.example/a", deep), (2, "http://deep.example/b", flat), (3, "http://x.example/", deep)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_text(df).collect()}
+    assert got == {1: "first\nsecond", 2: "A text of its own.", 3: "first\nsecond"}
+    root, blocks = wrappers.parse(deep)
+    assert [text for _, _, text in blocks] == ["first", "second"]
+    assert {len(path) for path, _, _ in blocks} == {wrappers.LEVELS}

@@ -85,3 +85,10 @@ def test_empty(spark):
     none = table(spark).limit(0)
     assert bpe.digests(none, RANKS).count() == 0
     assert token_counts.count_tokens(none, VOCABULARY).count() == 0
+
+
+def test_counts_under_awkward_names(spark):
+    df = spark.createDataFrame([(1.5, "one two", 3), (None, None, 4)], "`a.id` double, `the.text` string, text int")
+    out = token_counts.count_tokens(df, VOCABULARY, "a.id", "the.text")
+    assert out.columns == ["a.id", "n_bytes", "n_tokens", "over_limit"]
+    assert {r[0]: (r.n_bytes, r.n_tokens > 0) for r in out.collect()} == {1.5: (7, True), None: (0, False)}
