@@ -204,6 +204,38 @@ def skill_priors(
     )
 
 
+def requested_priors(
+    requests: DataFrame, measured: DataFrame, domains: DataFrame, skills: DataFrame
+) -> DataFrame:
+    """The mastery prior of each distinct requested (submission, skill) that the catalog or an answer knows.
+
+    What is stored is one row for each answered (submission, skill) and each (submission, domain), so
+    the work grows with the answers and the requests; the catalog is never multiplied by the students.
+    Submissions without an answer get the average ability for every skill, as in ``inferred_priors``.
+    """
+    key = [*SUBMISSION, "skill_id"]
+    own = measured.select(
+        *key, F.struct("domain_id", "theta_skill", "p_l0").alias("_own")
+    )
+    catalog = skills.select("skill_id", F.col("domain_id").alias("_domain")).dropDuplicates(["skill_id"])
+    known = domains.select(*SUBMISSION, F.col("domain_id").alias("_domain"), "theta_domain")
+    theta = F.coalesce("theta_domain", F.lit(0.0))
+    return (
+        requests.select(*key).distinct()
+        .join(own, key, "left")
+        .join(catalog, "skill_id", "left")
+        .where("_own IS NOT NULL OR _domain IS NOT NULL")
+        .join(known, [*SUBMISSION, "_domain"], "left")
+        .select(
+            *key,
+            F.coalesce("_own.domain_id", "_domain").alias("domain_id"),
+            F.coalesce("_own.theta_skill", F.round(theta, 4)).alias("theta_skill"),
+            F.coalesce("_own.p_l0", F.round(irt.mastery(theta), 4)).alias("p_l0"),
+            F.when(F.col("_own").isNotNull(), "measured").otherwise("inferred_from_domain").alias("source"),
+        )
+    )
+
+
 def skills_in_many_domains(responses: DataFrame) -> DataFrame:
     return (
         responses.groupBy("skill_id")

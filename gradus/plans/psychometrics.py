@@ -200,6 +200,31 @@ def skill_priors_inferred(spark: SparkSession, d: str) -> DataFrame:
     return _report(spark, d)["skill_priors"].where("source = 'inferred_from_domain'")
 
 
+@query(
+    "skill_priors_requested",
+    f"""WITH RECURSIVE {_PRIOR_CTES},
+requests AS (SELECT DISTINCT student_id, submission_id + 1 AS submission_id, skill_id FROM items),
+found AS (
+  SELECT r.student_id, r.submission_id, r.skill_id, coalesce(m.domain_id, s.domain_id) AS domain_id,
+         coalesce(m.t, d.theta_domain, 0) AS t, m.skill_id IS NOT NULL AS own
+  FROM requests r LEFT JOIN measured m USING ({_SUB}, skill_id) LEFT JOIN skills s USING (skill_id)
+  LEFT JOIN domains d ON d.student_id = r.student_id AND d.submission_id = r.submission_id
+                     AND d.domain_id = s.domain_id)
+SELECT student_id, submission_id, skill_id, domain_id, round(t, 4) AS theta_skill,
+       round({_MASTERY.format('t')}, 4) AS p_l0,
+       CASE WHEN own THEN 'measured' ELSE 'inferred_from_domain' END AS source
+FROM found WHERE domain_id IS NOT NULL""",
+)
+def skill_priors_requested(spark: SparkSession, d: str) -> DataFrame:
+    """Priors, for the year after, of the skills that each sitting asked."""
+    responses = views.responses(spark, d)
+    tables = _report(spark, d)
+    measured = tables["skill_priors"].where("source = 'measured'")
+    after = (F.col("submission_id") + 1).alias("submission_id")
+    requests = responses.select("student_id", after, "skill_id")
+    return ops.requested_priors(requests, measured, tables["domain_scores"], views.skills(spark, d))
+
+
 @query(
     "radar_axes",
     f"""WITH {views.RESPONSES}, {views.DOMAIN_NAMES}, {views.TARGETS}

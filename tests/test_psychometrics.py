@@ -123,3 +123,31 @@ def test_report_end_to_end(spark):
     assert len(report["domain_scores"]) == 3 and len(report["radar_chart"]) == 3
     assert len(report["skill_priors"]) == 8
     assert "Thế mạnh nổi bật" in report["remark"]
+
+
+def test_requested_priors(spark):
+    measured = spark.createDataFrame(
+        [("s", 1, "a", "alg", 0.7, 0.66)],
+        "student_id string, submission_id int, skill_id string, domain_id string, theta_skill double, p_l0 double",
+    )
+    domains = spark.createDataFrame(
+        [("s", 1, "alg", 0.5), ("t", 1, "geo", -1.0)],
+        "student_id string, submission_id int, domain_id string, theta_domain double",
+    )
+    skills = spark.createDataFrame(
+        [("a", "alg"), ("b", "alg"), ("c", "geo"), ("c", "geo")], "skill_id string, domain_id string"
+    )
+    asked = [("s", 1, k) for k in ("a", "b", "b", "c", "unknown")] + [("t", 1, "c"), ("new", 9, "b")]
+    requests = spark.createDataFrame(asked, "student_id string, submission_id int, skill_id string")
+    got = {
+        (r.student_id, r.skill_id): (r.domain_id, r.theta_skill, r.p_l0, r.source)
+        for r in ops.requested_priors(requests, measured, domains, skills).collect()
+    }
+    inferred = "inferred_from_domain"
+    assert got == {
+        ("s", "a"): ("alg", 0.7, 0.66, "measured"),
+        ("s", "b"): ("alg", 0.5, 0.6225, inferred),
+        ("s", "c"): ("geo", 0.0, 0.5, inferred),
+        ("t", "c"): ("geo", -1.0, 0.2689, inferred),
+        ("new", "b"): ("alg", 0.0, 0.5, inferred),
+    }
