@@ -120,3 +120,36 @@ def test_broad_joins_instead_of_broadcasts(spark, monkeypatch):
     texts = made(random.Random(9), n=12)
     df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
     assert found(df, 40, 12) == [(k, len(t), *w) for k, (t, w) in enumerate(zip(texts, plain(texts, 40)))]
+
+
+def test_buckets_stay_whole_after_a_join_that_turns_into_a_broadcast(spark):
+    """Spark drops a repartition by the key of a join below it, whose shuffle it may then read in place."""
+    draw = random.Random(5)
+    noise = lambda n: bytes(draw.choice(b"abcdefgh") for _ in range(n))
+    shared = [noise(60) for _ in range(80)]
+    texts = [noise(3) + shared[k % 80] + noise(20) for k in range(160)]
+    rows = [(k % 5, k, len(t) - 39, 20, bytearray(t)) for k, t in enumerate(texts)]
+    names = (
+        "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
+        "spark.sql.adaptive.coalescePartitions.enabled",
+    )
+    before = {name: spark.conf.get(name, None) for name in names}
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "10MB")
+    spark.conf.set(names[2], "false")
+    try:
+        many = spark.createDataFrame(rows, "anchor bigint, class bigint, width int, off int, text binary")
+        many = many.withColumnRenamed("anchor", "bucket").repartition(8).localCheckpoint()
+        few = spark.createDataFrame([(k,) for k in range(5)], "bucket bigint").localCheckpoint()
+        joined = many.join(few, "bucket").withColumnRenamed("bucket", "anchor")
+        found = suffixes.sorted_buckets(joined, 40)
+        got = found.collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    met = Counter((k % 5, t[w : w + 40]) for k, t in enumerate(texts) for w in range(len(t) - 39))
+    want = {(k, w) for k, t in enumerate(texts) for w in range(len(t) - 39) if met[k % 5, t[w : w + 40]] > 1}
+    assert {(r["class"], w) for r in got for w in range(r["first"], r["last"] + 1)} >= want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan.split("Initial Plan")[0]
+    assert len(want) > 1000
