@@ -77,6 +77,18 @@ def mentions(text: Column, markers: list[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+_ASCII_WORD = "[A-Za-z0-9_]"
+#: Where a word of ASCII letters, digits and _ starts or ends.
+ASCII_EDGE = f"(?:(?<={_ASCII_WORD})(?!{_ASCII_WORD})|(?<!{_ASCII_WORD})(?={_ASCII_WORD}))"
+
+
+def words_of(pattern: str, ascii_words: bool = False) -> str:
+    """The pattern with edges of words and white space of Unicode, or of ASCII as DuckDB has them."""
+    if not ascii_words:
+        return "(?U)" + pattern
+    return pattern.replace(r"\b", ASCII_EDGE).replace(r"\-\s", r"\-\t\n\f\r ").replace(r"\s", r"[\t\n\f\r ]")
+
+
 def stable_id(*parts: Column) -> Column:
     """Identifier that a rerun gives again."""
     return F.md5(F.concat_ws("#", *[p.cast("string") for p in parts]))

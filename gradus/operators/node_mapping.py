@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.functions.text import folded, meaningful_tokens
+from gradus.functions.text import folded, meaningful_tokens, words_of
 from gradus.operators.blocks import NODE_LIMITS, score_blocks
 
 # Words without meaning here, weights, subjects by words in domain or chapter.
@@ -47,20 +47,20 @@ REASON = "Khớp từ khóa học thuật với cây Khung chương trình"
 SCORE_DIGITS = 9
 
 
-def language_signs(text: Column) -> tuple[Column, Column]:
+def language_signs(text: Column, ascii_words: bool = False) -> tuple[Column, Column]:
     """(has Vietnamese letters, is plain English)."""
     accented = text.rlike(f"(?iu)[{VIETNAMESE_LETTERS}]")
     hits = F.size(
-        F.regexp_extract_all(text, F.lit(rf"(?iU)\b({'|'.join(ENGLISH_WORDS)})\b"), F.lit(1))
+        F.regexp_extract_all(text, F.lit("(?iu)" + words_of(rf"\b({'|'.join(ENGLISH_WORDS)})\b", ascii_words)), F.lit(1))
     )
     return accented, ~accented & (hits >= ENGLISH_HITS)
 
 
-def _prepared_questions(questions: DataFrame) -> DataFrame:
+def _prepared_questions(questions: DataFrame, ascii_words: bool = False) -> DataFrame:
     raw = F.concat_ws(
         " ", F.coalesce("content", F.lit("")), F.coalesce("passage_excerpt", F.lit(""))
     )
-    accented, english = language_signs(raw)
+    accented, english = language_signs(raw, ascii_words)
     skill = folded(F.col("suggested_skill_name"))
 
     def tokens(text: Column) -> Column:
@@ -159,13 +159,16 @@ def _best_nodes(batch: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def map_questions(questions: DataFrame, nodes: DataFrame, **limits: int) -> DataFrame:
+def map_questions(
+    questions: DataFrame, nodes: DataFrame, ascii_words: bool = False, **limits: int
+) -> DataFrame:
     """Best node per question with confidence; questions without a good one are left out.
 
     A node can win on its subject alone, so all nodes are scored for all questions: in blocks,
-    inside tasks, with one row per question coming out.
+    inside tasks, with one row per question coming out. ``ascii_words``: English words are looked for
+    between any signs that are no ASCII letter, digit or _, as SQL on DuckDB does.
     """
-    q, n = _prepared_questions(questions), _prepared_nodes(nodes)
+    q, n = _prepared_questions(questions, ascii_words), _prepared_nodes(nodes)
     types = [df.schema[c].dataType.simpleString() for df, c in ((q, "question_id"), (n, "ord"))]
     schema = f"question_id {types[0]}, ord {types[1]}, score double"
     width = F.length(F.concat_ws(" ", "pattern", "lesson", "chapter", "domain")) * 8 + 200

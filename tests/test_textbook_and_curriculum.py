@@ -144,3 +144,32 @@ def test_sections_hold_every_chunk_in_order(spark):
     assert len(some) == 2 * 3 + 1  # theory under two lessons, examples under one
     wide = curriculum.roll_up(chunks, {"THEORY": 1000, "EXAMPLE": 1000, "EXERCISE": 1000}).collect()
     assert sum(r.theory_recap.count("[Trang") for r in wide) >= 59 * 3
+
+
+def test_word_edges_of_ascii_are_those_of_the_sql(spark):
+    import duckdb
+
+    from gradus.functions.text import words_of
+    from gradus.operators import node_mapping
+
+    texts = [
+        "straß 10 e", "straß_10_x", "x 10 ä", "x 10 y", "lớp\u00a010", "lớp\x0b11 ", "lớp 12", "ßester und", "ester",
+        "öreading comprehension", "đạo hàm", "a cdß", "_cd.", "ä cd ", "inßgelich isä is", "their ſhe theüis", "",
+    ]
+    patterns = [textbook.GRADE_NAMES.format(n=n) for n in (10, 11, 12)]
+    patterns += [rf"\b({t})\b" for _, t in textbook.GRADE_TOPICS] + [p for _, _, p in textbook.EDITIONS if p]
+    patterns += [rf"\b({r[5]})\b" for r in textbook.SUBJECT_RULES] + [r[4] for r in textbook.SUBJECT_RULES if r[4]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", *[F.col("t").rlike(words_of(p, True)).alias(f"p{k}") for k, p in enumerate(patterns)]).collect()
+    unicode = df.select(*[F.col("t").rlike(words_of(p)).alias(f"p{k}") for k, p in enumerate(patterns)]).collect()
+    con = duckdb.connect()
+    ask = lambda q, *a: con.execute(q, a).fetchone()[0]
+    want = [[ask("SELECT regexp_matches(?, ?)", t, p) for p in patterns] for t in texts]
+    assert [list(r)[1:] for r in got] == want
+    assert [list(r) for r in unicode] != want
+    english = rf"(?i)\b({'|'.join(node_mapping.ENGLISH_WORDS)})\b"
+    hits = [ask("SELECT len(regexp_extract_all(?, ?))", t, english) for t in texts]
+    found = F.size(F.regexp_extract_all("t", F.lit(words_of(english, True).replace("(?i)", "(?iu)")), F.lit(1)))
+    assert [r[0] for r in df.select(found).collect()] == hits
+    signs = lambda a: df.select(node_mapping.language_signs(F.concat(F.lit("the of inß "), "t"), a)[1]).collect()
+    assert [r[0] for r in signs(True)] != [r[0] for r in signs(False)]
