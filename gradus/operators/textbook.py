@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradus.functions.text import contains_any, is_blank, strip
+from gradus.functions.text import contains_any, is_blank, strip, words_of
 from gradus.operators.blocks import NODE_LIMITS, score_blocks, slices
 from gradus.operators.ordered import bucket_of, carry_last
 from gradus.session import checkpointed
@@ -227,26 +227,29 @@ def _first(rules: list[tuple[Column, object]], default: object) -> Column:
     return F.lit(default) if out is None else out.otherwise(default)
 
 
-def detect_grade(lower_text: Column) -> Column:
+def detect_grade(lower_text: Column, ascii_words: bool = False) -> Column:
     rules = [
-        (lower_text.rlike("(?U)" + GRADE_NAMES.format(n=n)), n) for n in (10, 11, 12)
-    ] + [(lower_text.rlike(rf"(?U)\b({topics})\b"), n) for n, topics in GRADE_TOPICS]
+        (lower_text.rlike(words_of(GRADE_NAMES.format(n=n), ascii_words)), n) for n in (10, 11, 12)
+    ] + [(lower_text.rlike(words_of(rf"\b({topics})\b", ascii_words)), n) for n, topics in GRADE_TOPICS]
     return _first(rules, DEFAULT_GRADE)
 
 
-def detect_edition(lower_text: Column) -> Column:
+def detect_edition(lower_text: Column, ascii_words: bool = False) -> Column:
     rules = []
     for name, phrases, pattern in EDITIONS:
         hit = contains_any(lower_text, phrases)
-        rules.append((hit | lower_text.rlike("(?U)" + pattern) if pattern else hit, name))
+        rules.append((hit | lower_text.rlike(words_of(pattern, ascii_words)) if pattern else hit, name))
     return _first(rules, DEFAULT_EDITION)
 
 
-def identify(documents: DataFrame, out_of_scope: list[str]) -> DataFrame:
+def identify(
+    documents: DataFrame, out_of_scope: list[str], ascii_words: bool = False
+) -> DataFrame:
     """Subject, domain, grade and edition from file name, sample text and hints.
 
     ``documents``: file_name, sample_text and, where known, hint_domain, hint_subject, hint_grade,
     hint_edition. ``out_of_scope``: keywords that rule a document out.
+    ``ascii_words``: words end where ASCII letters, digits and _ do, as in SQL on DuckDB.
     """
     have = documents.columns
 
@@ -271,9 +274,9 @@ def identify(documents: DataFrame, out_of_scope: list[str]) -> DataFrame:
     is_given = ~given.isin("", "AUTO")
     cascade = []
     for code, title, domain, phrases, pattern, topics in SUBJECT_RULES:
-        hit = contains_any(name, phrases) | text.rlike(rf"(?U)\b({topics})\b")
+        hit = contains_any(name, phrases) | text.rlike(words_of(rf"\b({topics})\b", ascii_words))
         if pattern:
-            hit = hit | name.rlike("(?U)" + pattern)
+            hit = hit | name.rlike(words_of(pattern, ascii_words))
         cascade.append((hit, (code, title, domain)))
     for code, title, domain, phrases in HINT_RULES:
         cascade.append((contains_any(F.col("_hint"), phrases), (code, title, domain)))
@@ -286,7 +289,7 @@ def identify(documents: DataFrame, out_of_scope: list[str]) -> DataFrame:
     out = F.col("_banned").isNotNull()
     asked_grade = F.when(hint("hint_grade", "int") > 0, hint("hint_grade", "int"))
     asked_edition = F.when(~is_blank(hint("hint_edition")), hint("hint_edition"))
-    detected = detect_grade(text)
+    detected = detect_grade(text, ascii_words)
     return (
         rows.withColumn("_banned", banned)
         .withColumns(
@@ -304,7 +307,7 @@ def identify(documents: DataFrame, out_of_scope: list[str]) -> DataFrame:
                 ),
                 "grade": F.when(out, detected).otherwise(F.coalesce(asked_grade, detected)),
                 "book_edition": F.when(out, "GDPT 2018").otherwise(
-                    F.coalesce(asked_edition, detect_edition(text))
+                    F.coalesce(asked_edition, detect_edition(text, ascii_words))
                 ),
                 "is_in_scope": ~out,
             }
