@@ -77,3 +77,16 @@ def test_paragraphs(spark):
     assert rows(chunking.paragraph_chunks(df, "doc"), "chunk_id", "content") == [
         ("7_chunk_1", "a"), ("7_chunk_2", "b"), ("7_chunk_3", "c"),
     ]
+
+
+def test_texts_of_a_batch_are_cut_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "TEXTS_AT_ONCE", 7)
+    texts = [None if k % 9 == 0 else "word " * (k * 5) + "\n\n" + "x" * k for k in range(60)]
+    df = spark.createDataFrame([(f"k{k}", t) for k, t in enumerate(texts)], "id string, text string")
+    got = sorted(tuple(r) for r in chunking.recursive_chunks(df, "id", size=40, overlap=8).collect())
+    want = sorted(
+        (f"k{k}", i, c, len(c))
+        for k, t in enumerate(texts)
+        for i, c in enumerate(chunking.split_text((t or "").strip(), 40, 8))
+    )
+    assert got == want
