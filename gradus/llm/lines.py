@@ -16,6 +16,11 @@ similar line after the comparison is compared with the other earlier lines of it
 many in each round, earliest first, until it has one or none is left. Nothing is capped; pairs are
 ruled out by exact bounds alone.
 
+``linked`` gives all similar pairs of different sets instead, and the members of each set. There every two
+postings of a word that the bounds let pass make a pair, each pair is kept once, with one of its words, and
+the lines of a word are dealt into blocks of ``SIDE``: a task compares two blocks, so that a line's text is
+sent once for each block that it meets and no group of near copies is one task.
+
 Rarity comes from word counts over all lines, held in a table of ``BUCKETS`` counters by hash: it is
 broadcast, its size does not depend on the data, and words that share a counter only make the order a
 little less good. Any order that is the same for all lines gives the same result. Texts are read twice,
@@ -41,7 +46,7 @@ from gradus.llm.links import PICK_LIMIT, pick
 from gradus.llm.minmax import mixed
 from gradus.llm.registry import query, read
 from gradus.llm.words import slices, unused
-from gradus.session import checkpointed, scratch_folder
+from gradus.session import checkpointed, scratch_folder, stacked
 
 NUMERATOR, DENOMINATOR = 85, 100
 #: Fewest distinct words of a line that counts.
@@ -55,6 +60,8 @@ BITS = ["bits0", "bits1", "bits2", "bits3"]
 BLOCK_BYTES = 1 << 21
 #: Earlier lines that an open line is compared with in its first round; four times as many in each next.
 FIRST_ROUND = 4
+#: Lines of one side of a block of pairs to compare.
+SIDE = 512
 #: Numbers of lines to compare that may be broadcast, 8 bytes each; beyond it texts are joined.
 BROADCAST_LINES = 1_000_000
 
@@ -516,23 +523,134 @@ def similar_lines(docs: DataFrame, posted: DataFrame) -> DataFrame:
     )
 
 
+def candidates(posted: DataFrame) -> DataFrame:
+    """(a, b, word): all pairs of sets that the bounds let pass, each once, and a word that they share."""
+    both = posted.alias("x").join(
+        posted.alias("y"), F.expr("x.word = y.word AND x.ref < y.ref") & possible("x", "y")
+    )
+    pairs = both.select(F.col("x.ref").alias("a"), F.col("y.ref").alias("b"), F.col("x.word").alias("word"))
+    return pairs.groupBy("a", "b").agg(F.min("word").alias("word"))
+
+
+def all_similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, line, similar): each line that has earlier similar ones among the stored candidates
+    (a, b, word), and all of these, (to_doc, to_line), in order."""
+    ends = F.explode(F.array("a", "b")).alias("ref")
+    groups = pairs.select("word", ends).distinct().groupBy("word").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("g"))
+    large = checkpointed(groups.where("g > 1"))
+    i, j = (F.pmod(F.xxhash64(end), F.coalesce("g", F.lit(1))) for end in ("a", "b"))
+    block = ["word", "i", "j"]
+    dealt = stored(
+        pairs.join(_few(large), "word", "left").select(
+            "word", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "a", "b"
+        )
+    )
+    meets = dealt.select(*block, ends).distinct().groupBy("ref").agg(F.collect_list(F.struct(*block)).alias("blocks"))
+    wanted = checkpointed(sets.select("doc_id", "line", "ref").join(meets, "ref"))
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "ref", "blocks")).alias("wanted"))
+    if (wanted.agg(F.sum(F.size("blocks"))).first()[0] or 0) <= BROADCAST_LINES:
+        by_doc = F.broadcast(by_doc)
+    members = (
+        docs.join(by_doc, "doc_id")
+        .select("doc_id", F.explode("wanted").alias("w"), F.split("text", "\n").alias("all"))
+        .select(
+            "doc_id", "w.line", F.col("w.ref").alias("a"), F.get("all", F.col("w.line")).alias("content"),
+            F.explode("w.blocks").alias("block"),
+        )
+        .select("block.*", "a", F.lit(None).cast("bigint").alias("b"), "doc_id", "line", "content")
+    )
+    id_sql = docs.schema["doc_id"].dataType.simpleString()
+    empty = {"doc_id": id_sql, "line": "int", "content": "string"}
+    asked = dealt.select(*block, "a", "b", *[F.lit(None).cast(kind).alias(name) for name, kind in empty.items()])
+
+    def links_of(found: dict, kind) -> pa.RecordBatch:
+        flat = [y for earlier in found.values() for y in earlier]
+        to = [pa.array([y[k] for y in flat], t) for k, t in enumerate((kind, pa.int32()))]
+        ends = np.cumsum([0, *map(len, found.values())]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([x[0] for x in found], kind),
+                pa.array([x[1] for x in found], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(to, names=["to_doc", "to_line"])),
+            ],
+            names=["doc_id", "line", "similar"],
+        )
+
+    def tasks(batches):
+        at, kind, held, known, found = None, None, {}, {}, {}
+        for batch in batches:
+            kind = batch.column(5).type
+            for part in slices(batch, 1024):
+                for word, i, j, a, b, doc, line, content in zip(*[c.to_pylist() for c in part.columns]):
+                    if at != (word, i, j):
+                        if found:
+                            yield links_of(found, kind)
+                        at, held, known, found = (word, i, j), {}, {}, {}
+                    if b is None:
+                        # Lines of a block share most words, which are kept once.
+                        held[a] = (doc, line), {known.setdefault(w, w) for w in line_words(content)}
+                        continue
+                    (x, these), (y, those) = held[a], held[b]
+                    overlap = len(these & those)
+                    # Rows of equal id are one document.
+                    if x != y and DENOMINATOR * overlap >= NUMERATOR * (len(these) + len(those) - overlap):
+                        found.setdefault(max(x, y), []).append(min(x, y))
+        if found:
+            yield links_of(found, kind)
+
+    # The lines of a block come before its pairs.
+    ordered = stacked(members, asked).repartition(*block).sortWithinPartitions(*block, "b")
+    found = ordered.mapInArrow(
+        tasks, f"doc_id {id_sql}, line int, similar array<struct<to_doc: {id_sql}, to_line: int>>"
+    )
+    every = F.sort_array(F.array_distinct(F.flatten(F.collect_list("similar"))))
+    return found.groupBy("doc_id", "line").agg(every.alias("similar"))
+
+
+def _read_lines(df: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) of the documents with an id, and (doc_id, n_lines) of all."""
+    docs = _texts(df, id_column, text_column)
+    lines_of = F.regexp_count("text", F.lit("\n")) + 1
+    n_lines = F.when(F.col("text") == "", 0).otherwise(lines_of).cast("bigint").alias("n_lines")
+    return docs.where("doc_id IS NOT NULL"), docs.select("doc_id", n_lines)
+
+
+def _removed(repeated: DataFrame, similar: DataFrame) -> DataFrame:
+    similar = similar.withColumn("near", F.lit(True))
+    repeated = repeated.withColumn("near", F.lit(False))
+    # A copy of a line may be near an earlier one too: it counts once, as a copy.
+    to = F.min(F.struct("near", "to_doc", "to_line"))
+    both = repeated.unionByName(similar).groupBy("doc_id", "line").agg(to.alias("t"))
+    return both.select("doc_id", "line", "t.to_doc", "t.to_line", "t.near")
+
+
 def removals(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS
 ):
     """(documents, removed): (doc_id, n_lines) of each document; (doc_id, line, to_doc, to_line, near)
     of each removed line and an earlier line that it repeats."""
-    docs = _texts(df, id_column, text_column)
-    known = docs.where("doc_id IS NOT NULL")
-    lines_of = F.regexp_count("text", F.lit("\n")) + 1
-    documents = docs.select("doc_id", F.when(F.col("text") == "", 0).otherwise(lines_of).cast("bigint").alias("n_lines"))
+    known, documents = _read_lines(df, id_column, text_column)
     sets = stored(line_sets(known, word_counts(known), min_words))
     repeated = copies(sets)
-    similar = similar_lines(known, postings(sets, repeated)).withColumn("near", F.lit(True))
-    repeated = repeated.withColumn("near", F.lit(False))
-    # A copy of a line may be near an earlier one too: it counts once, as a copy.
-    to = F.min(F.struct("near", "to_doc", "to_line"))
-    both = repeated.unionByName(similar).groupBy("doc_id", "line").agg(to.alias("t"))
-    return documents, both.select("doc_id", "line", "t.to_doc", "t.to_line", "t.near")
+    return documents, _removed(repeated, similar_lines(known, postings(sets, repeated)))
+
+
+def linked(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS
+):
+    """(documents, removed, near): the first two as ``removals`` gives them, with the earliest line that each
+    repeats, which for a copy is the first line of its set; and (doc_id, line, similar) of each such first line
+    that is similar to earlier ones, with all of these, (to_doc, to_line), in order."""
+    known, documents = _read_lines(df, id_column, text_column)
+    sets = stored(
+        line_sets(known, word_counts(known), min_words).withColumn("ref", F.monotonically_increasing_id())
+    )
+    repeated = copies(sets)
+    first = sets.join(_few(repeated.select("doc_id", "line")), ["doc_id", "line"], "left_anti")
+    posted = first.select(F.posexplode("words").alias("pos", "word"), "ref", "n", *BITS)
+    near = checkpointed(all_similar(known, sets, stored(candidates(posted))))
+    nearest = near.select("doc_id", "line", F.inline(F.slice("similar", 1, 1)))
+    return documents, _removed(repeated, nearest), near
 
 
 def deduplicated(
@@ -560,22 +678,30 @@ def deduplicated(
 
 @query("op1_line_dedup")
 def op1_line_dedup(spark: SparkSession, base: str) -> DataFrame:
-    """Each document's lines, how many are removed, how many of these as near copies, and the removed
-    lines with an earlier line (document and number) that each repeats."""
-    documents, removed = removals(read(spark, base, "documents"))
+    """Each document's lines, how many are removed, how many of these as near copies, the removed lines with
+    the earliest line (document and number) that each repeats, and all links of its lines to earlier lines
+    of other words; a link stands between the first lines of their sets, of which ``links`` names the copies."""
+    documents, removed, near = linked(read(spark, base, "documents"))
     link = F.struct("line", "to_doc", "to_line", "near")
     grouped = removed.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_links"),
         F.sum(F.col("near").cast("bigint")).alias("n_near"),
         F.sort_array(F.collect_list(link)).alias("links"),
     )
+    similar = near.groupBy("doc_id").agg(
+        F.sum(F.size("similar")).alias("n_pairs"),
+        F.sort_array(F.collect_list(F.struct("line", "similar"))).alias("pairs"),
+    )
     zero = F.lit(0).cast("bigint")
     return (
         documents.groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
         .join(grouped, "doc_id", "left")
+        .join(similar, "doc_id", "left")
         .select(
             "doc_id", "n_lines", F.coalesce("n_links", zero).alias("n_links"),
             F.coalesce("n_near", zero).alias("n_near"),
             F.coalesce("links", F.array().cast(grouped.schema["links"].dataType)).alias("links"),
+            F.coalesce("n_pairs", zero).alias("n_pairs"),
+            F.coalesce("pairs", F.array().cast(similar.schema["pairs"].dataType)).alias("pairs"),
         )
     )

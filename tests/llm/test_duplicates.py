@@ -306,3 +306,32 @@ def test_line_pieces_and_rounds(spark, monkeypatch):
     monkeypatch.setattr(lines._Earlier, "FEW", 2)
     for source in (drifting, variants, table):
         test_lines(spark, source)
+
+
+@pytest.mark.parametrize("source, side", [(table, 512), (variants, 5), (drifting, 9)])
+def test_all_pairs_of_similar_lines(spark, monkeypatch, source, side):
+    """Every link between lines of different sets, not one for each line; blocks of any size give the same."""
+    monkeypatch.setattr(lines, "SIDE", side)
+    df = source(spark)
+    given = {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect() if r.doc_id is not None}
+    first = {}
+    for key, text in sorted(given.items()):
+        for number, line in enumerate(text.split("\n")):
+            words = frozenset(lines.line_words(line))
+            if words:
+                first.setdefault(words, (key, number))
+    want = {
+        (*max(p, q), *min(p, q))
+        for x, p in first.items()
+        for y, q in first.items()
+        if p != q and 100 * len(x & y) >= 85 * len(x | y)
+    }
+    documents, removed, near = lines.linked(df)
+    rows = [(r.doc_id, r.line, *y) for r in near.collect() for y in r.similar]
+    assert len(rows) == len(want) and set(rows) == want
+    gone = {(r.doc_id, r.line): (r.to_doc, r.to_line, r.near) for r in removed.collect()}
+    assert {k: t[2] for k, t in gone.items()} == {
+        (r.doc_id, r.line): r.near for r in lines.removals(df)[1].collect()
+    }
+    for x_doc, x_line, *y in want:
+        assert gone[x_doc, x_line][:2] <= tuple(y)
