@@ -93,9 +93,14 @@ def ability(
 ) -> DataFrame:
     """Adds ``theta``. ``refined`` follows the reference search; ``grid`` is a coarse check on it.
 
-    Keys with fewer than ``min_items`` answers get 0 and are to be given another estimate.
+    Keys with fewer than ``min_items`` answers get 0 and are to be given another estimate. Most keys of
+    a fine grain are such; they do not go through Python.
     """
-    return counts.withColumn("theta", irt.theta(model, method, min_items))
+    if min_items <= 1:
+        return counts.withColumn("theta", irt.theta(model, method))
+    answers = sum((F.col(c) for c in model.count_columns), F.lit(0))
+    solved = counts.where(answers >= min_items).withColumn("theta", irt.theta(model, method))
+    return stacked(solved, counts.where(answers < min_items).withColumn("theta", F.lit(0.0)))
 
 
 def submission_ability(

@@ -161,3 +161,23 @@ def test_ability_that_rounds_to_zero_has_no_sign():
     for solve in (irt.refined_theta, irt.grid_theta):
         found = solve(counts, irt.ItemModel())
         assert not np.signbit(found[found == 0]).any()
+
+
+def test_equal_counts_are_solved_once():
+    model = irt.ItemModel()
+    counts = np.zeros((40, len(model.count_columns)))
+    counts[np.arange(40), np.arange(40) % 3] = 2
+    counts[7, 1] = 300  # beyond one byte
+    distinct, at = irt.different(counts)
+    assert len(distinct) == 4 and (distinct[at] == counts).all()
+    assert (irt.refined_theta(distinct, model)[at] == irt.refined_theta(counts, model)).all()
+
+
+def test_keys_below_the_least_answers_do_not_go_through_python(spark):
+    items = [("a", "d", 3, True, 30), ("a", "d", 5, False, 30), ("b", "d", 2, True, 30)]
+    counts = ops.answer_counts(answers(spark, items), [*ops.SUBMISSION, "skill_id"])
+    found = ops.ability(counts, min_items=2)
+    got = {r.skill_id: r.theta for r in found.collect()}
+    assert got["b"] == 0.0 and got["a"] == theta_of(spark, items[:2])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan.split("ArrowEvalPython")[1]
