@@ -9,11 +9,14 @@ wrong_option, misconception_explanation, socratic_hint.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.text import is_blank, is_uuid, strip
 from gradus.operators.retrieval import vector_top_k
+from gradus.operators.substrings import small
 from gradus.session import checkpointed, stacked
 
 # Similarity floor, numbers kept, identity ratio, the mark of curriculum material.
@@ -25,6 +28,9 @@ MATERIAL_SIMILARITY = 0.98
 EXPLANATION_TITLE = "Phương pháp giải bài tập khảo thí"
 MATERIAL_TITLE = "Tài liệu học tập ĐGNL"
 
+#: Questions and traps that meet in one block, blocks of a task, most tasks, and archetypes to broadcast.
+BLOCK_SIDE, BLOCKS_PER_TASK, MAX_TASKS, BROADCAST_CUTS = 1000, 4, 20_000, 100_000
+
 
 def grounding(similarity: Column, min_similarity: float = MIN_SIMILARITY) -> Column:
     return (
@@ -162,10 +168,31 @@ def resolve_traps(asks: DataFrame, traps: DataFrame) -> DataFrame:
     )
 
 
-def candidate_traps(resolved: DataFrame, traps: DataFrame) -> DataFrame:
-    """A row per question and trap of its archetype, where no single trap was matched."""
-    open_questions = resolved.where("strategy = 'ARCHETYPE_CANDIDATES'")
-    return open_questions.select("question_id", "archetype_id").join(traps, "archetype_id")
+def candidate_traps(resolved: DataFrame, traps: DataFrame, side: int = BLOCK_SIDE) -> DataFrame:
+    """A row per question and trap of its archetype, where no single trap was matched.
+
+    An archetype's questions and traps are both cut into parts of about ``side``, and any two parts
+    meet in one block. The blocks are dealt over as many partitions as their number asks for, so a
+    task makes about ``BLOCKS_PER_TASK * side * side`` rows however many there are of an archetype.
+    """
+    asked = resolved.where("strategy = 'ARCHETYPE_CANDIDATES'").select("question_id", "archetype_id")
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("archetype_id").agg(F.ceil(F.count(F.lit(1)) / side).alias(name))
+
+    cuts = checkpointed(parts(asked, "_asks").join(parts(traps, "_traps"), "archetype_id"))
+    blocks = cuts.agg(F.sum(F.col("_asks") * F.col("_traps"))).first()[0] or 0
+    tasks = min(MAX_TASKS, max(1, math.ceil(blocks / BLOCKS_PER_TASK)))
+    cuts, block = small(cuts, BROADCAST_CUTS), ["archetype_id", "_a", "_t"]
+
+    def met(rows: DataFrame, key: str, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+        (place, count), (each, times) = own, other
+        dealt = rows.join(cuts, "archetype_id").withColumn(place, F.pmod(F.xxhash64(key), F.col(count)))
+        spread = dealt.withColumn(each, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times) - 1)))
+        return spread.select(*rows.columns, place, each).repartition(tasks, *block)
+
+    a, t = ("_a", "_asks"), ("_t", "_traps")
+    return met(asked, "question_id", a, t).join(met(traps, "trap_id", t, a), block).drop("_a", "_t")
 
 
 def materials_for(asks: DataFrame, questions: DataFrame, materials: DataFrame) -> DataFrame:

@@ -44,6 +44,20 @@ def test_trap_resolution(spark):
     assert graph.candidate_traps(resolved, traps).count() == 7
 
 
+def test_candidates_of_one_archetype_are_made_by_many_tasks(spark):
+    asks = spark.range(300).select(
+        F.col("id").alias("question_id"), F.when(F.col("id") < 290, "A").otherwise("B").alias("archetype_id"),
+        F.lit("ARCHETYPE_CANDIDATES").alias("strategy"),
+    )
+    traps = spark.range(200).select(
+        F.when(F.col("id") < 190, "A").otherwise("C").alias("archetype_id"), F.concat(F.lit("T"), "id").alias("trap_id")
+    )
+    found = graph.candidate_traps(asks, traps, side=10).withColumn("_task", F.spark_partition_id())
+    got = found.groupBy("_task").count().agg(F.sum("count"), F.max("count")).first()
+    assert got[0] == 290 * 190 and got[1] < 290 * 190 / 8
+    assert found.drop("_task").exceptAll(asks.drop("strategy").join(traps, "archetype_id").select(*found.columns[:-1])).count() == 0
+
+
 def test_match_form(spark):
     got = spark.range(1).select(graph.match_form(F.lit("  $20\\pi$  cm/s "))).first()[0]
     assert got == "20pi cm/s"
