@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions.text import contains_any, is_blank, strip
 from gradus.operators.ordered import bucket_of, dense_index
-from gradus.session import stacked
+from gradus.session import stacked, stored
 
 # Weights of completeness, difficulty range and default, size of a block of numbers.
 CONTENT_CAP, EXPLANATION_WEIGHT, OPTION_WEIGHT = 400, 300, 60
@@ -70,30 +70,66 @@ def quality(content: Column, explanation: Column, options: Column) -> Column:
     return length + told + F.coalesce(filled, F.lit(0)) * OPTION_WEIGHT
 
 
-def merge_questions(questions: DataFrame) -> DataFrame:
+def merge_questions(questions: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Most complete version of each number; the earliest among equals. Partially aggregated, so
     copies of a question never meet in one place in full.
+
+    ``columns`` are those to keep besides exam and number. Ask for what is needed only: the others are
+    shuffled, too.
     """
-    rest = [c for c in questions.columns if c not in ("exam_id", "question_number")]
+    kept = questions.columns if columns is None else columns
+    rest = [c for c in kept if c not in ("exam_id", "question_number")]
+    made = {"correct_option": correct_option, "difficulty_level": difficulty}
     scored = questions.where("question_number > 0").withColumns(
         {
-            "correct_option": correct_option(F.col("correct_option")),
-            "difficulty_level": difficulty(F.col("difficulty_level")),
+            **{c: make(F.col(c)) for c, make in made.items() if c in rest},
             "_score": quality(F.col("content"), F.col("explanation"), F.col("options")),
         }
     )
     best = scored.groupBy("exam_id", "question_number").agg(
         F.max_by(F.struct(*rest), F.struct("_score", -F.col("arrival"))).alias("_q")
     )
-    options = F.map_from_arrays(
-        F.array(*[F.lit(x) for x in LETTERS]),
-        F.array(*[F.coalesce(F.col("_q.options")[x], F.lit("")) for x in LETTERS]),
+    merged = best.select(
+        "exam_id", "question_number", *[F.col(f"_q.{c}").alias(c) for c in rest if c != "options"], "_q"
     )
-    return best.select(
-        "exam_id",
-        "question_number",
-        *[F.col(f"_q.{c}").alias(c) for c in rest if c != "options"],
-        options.alias("options"),
+    if "options" in rest:
+        options = F.map_from_arrays(
+            F.array(*[F.lit(x) for x in LETTERS]),
+            F.array(*[F.coalesce(F.col("_q.options")[x], F.lit("")) for x in LETTERS]),
+        )
+        merged = merged.withColumn("options", options)
+    return merged.drop("_q")
+
+
+PASSAGE_KEYS = ["exam_id", "start_question", "end_question"]
+_VALID_PASSAGE = "start_question > 0 and end_question >= start_question"
+
+
+def passage_ranges(passages: DataFrame) -> DataFrame:
+    """The keys of ``stitch_passages`` without its texts."""
+    return passages.where(_VALID_PASSAGE).select(*PASSAGE_KEYS).distinct()
+
+
+def figure_passages(passages: DataFrame) -> DataFrame:
+    """(exam_id, start_question, end_question, wants_figure): what ``wants_figure`` says of the stitched
+    text, found without stitching it.
+
+    Stitching loses no text, at most its case: a part is left out where the text has it and replaces
+    a text that it has, and parts are joined by a blank line, which none of the words holds. So a word is
+    in the stitched text where it is in any part.
+    """
+    text = F.lower(F.coalesce("content", F.lit("")))
+    seen = {
+        "_pointed": contains_any(text, FIGURE_WORDS),
+        "_trial": F.contains(text, F.lit("thí nghiệm")),
+        "_figure": F.contains(text, F.lit("hình")),
+        "_chart": contains_any(text, PASSAGE_CHARTS),
+    }
+    found = passages.where(_VALID_PASSAGE).groupBy(*PASSAGE_KEYS).agg(
+        *[F.bool_or(hit).alias(name) for name, hit in seen.items()]
+    )
+    return found.select(
+        *PASSAGE_KEYS, F.expr("(_pointed or (_trial and _figure)) and not _chart").alias("wants_figure")
     )
 
 
@@ -104,8 +140,8 @@ def stitch_passages(passages: DataFrame) -> DataFrame:
     it, any other is appended. Equal parts (ignoring case) therefore count once, and are reduced to
     the earliest before anything is brought together.
     """
-    keys = ["exam_id", "start_question", "end_question"]
-    valid = passages.where("start_question > 0 and end_question >= start_question").withColumn(
+    keys = PASSAGE_KEYS
+    valid = passages.where(_VALID_PASSAGE).withColumn(
         "content", strip(F.coalesce("content", F.lit("")))
     )
     distinct = valid.groupBy(*keys, F.lower("content").alias("_form")).agg(
@@ -134,24 +170,28 @@ def stitch_passages(passages: DataFrame) -> DataFrame:
 
 
 def place_questions(questions: DataFrame, passages: DataFrame) -> DataFrame:
-    """Each question with the first passage, by (start, end), whose range holds it.
+    """Each question with the first passage, by (start, end), whose range holds it. ``questions`` has a
+    number of an exam once, as ``merge_questions`` gives it.
 
-    Ranges and numbers meet in blocks of fifty numbers of an exam, then exactly.
+    Ranges and numbers meet in blocks of fifty numbers of an exam, then exactly. A question is taken
+    along through that join, so that its table is made and shuffled once.
     """
     block = F.floor(F.col("question_number") / NUMBERS_PER_BLOCK)
     first = F.floor(F.col("start_question") / NUMBERS_PER_BLOCK)
     last = F.floor(F.col("end_question") / NUMBERS_PER_BLOCK)
     ranges = passages.select(
-        "exam_id", "start_question", "end_question", F.explode(F.sequence(first, last)).alias("_block")
+        "exam_id", F.struct("start_question", "end_question").alias("_p"),
+        F.explode(F.sequence(first, last)).alias("_block"),
     )
-    numbers = questions.select("exam_id", "question_number", block.alias("_block"))
-    owner = (
-        numbers.join(ranges, ["exam_id", "_block"])
-        .where("question_number between start_question and end_question")
-        .groupBy("exam_id", "question_number")
-        .agg(F.min(F.struct("start_question", "end_question")).alias("_p"))
+    held = F.col("question_number").between(F.col("_p.start_question"), F.col("_p.end_question"))
+    rest = [c for c in questions.columns if c not in ("exam_id", "question_number")]
+    owned = (
+        questions.withColumn("_block", block)
+        .join(ranges, ["exam_id", "_block"], "left")
+        .groupBy("exam_id", "_block", "question_number")
+        .agg(*[F.first(c).alias(c) for c in rest], F.min(F.when(held, F.col("_p"))).alias("_p"))
     )
-    return questions.join(owner, ["exam_id", "question_number"], "left").select(
+    return owned.select(
         *questions.columns,
         F.col("_p.start_question").alias("passage_start"),
         F.col("_p.end_question").alias("passage_end"),
@@ -200,13 +240,22 @@ def assign_images(passages: DataFrame, singles: DataFrame, images: DataFrame) ->
     ``passages`` (start_question, end_question, page_number of their first question) come before
     ``singles``. Returns (exam_id, kind, item, page_number, url).
     """
-    p = passages.where(wants_figure(F.col("content"), True)).select(
+    return place_images(
+        passages.where(wants_figure(F.col("content"), True)),
+        singles.where(wants_figure(F.col("content"), False)),
+        images,
+    )
+
+
+def place_images(passages: DataFrame, singles: DataFrame, images: DataFrame) -> DataFrame:
+    """``assign_images`` of items that are known to point to a figure; their texts are not needed."""
+    p = passages.select(
         "exam_id", "page_number", F.lit("passage").alias("kind"),
         F.col("start_question").alias("item"),
         F.lit(0).alias("_turn"), F.col("start_question").alias("_order"),
         F.col("end_question").alias("_tie"),
     )
-    s = singles.where(wants_figure(F.col("content"), False)).select(
+    s = singles.select(
         "exam_id", "page_number", F.lit("question").alias("kind"),
         F.col("question_number").alias("item"),
         F.lit(1).alias("_turn"), F.col("question_number").alias("_order"), F.lit(0).alias("_tie"),
@@ -214,7 +263,7 @@ def assign_images(passages: DataFrame, singles: DataFrame, images: DataFrame) ->
     page = ["exam_id", "page_number"]
     place = F.col("_turn") * (1 << 40) + F.col("_order")
     claims = dense_index(
-        stacked(p, s).where("page_number > 0"),
+        stored(stacked(p, s).where("page_number > 0")),
         page,
         [F.col("_turn"), F.col("_order"), F.col("_tie")],
         bucket_of(place),

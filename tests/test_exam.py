@@ -147,6 +147,28 @@ def test_images_go_to_items_that_point_to_figures(spark):
     assert rows(got, "kind", "item", "url") == [("passage", 1, "a"), ("question", 7, "b")]
 
 
+def test_figures_of_passages_are_found_without_their_texts(spark):
+    texts = ["như hình", "thí nghiệm", "một hình", "bảng số liệu", "Sơ đồ", "sơ đồ và hơn", " ", "NHƯ HÌNH trên"]
+    data = [(e, 1 + e % 2, 2, i, texts[(e * 3 + i * (1 + e // 8)) % 8]) for e in range(40) for i in range(1 + e % 3)]
+    parts = spark.createDataFrame(
+        [(*d, None) for d in [*data, (99, 0, 2, 1, "như hình"), (99, 3, 2, 1, "như hình")]],
+        "exam_id int, start_question int, end_question int, arrival int, content string, image_url string",
+    )
+    stitched = exam_merge.stitch_passages(parts)
+    want = stitched.withColumn("wants_figure", exam_merge.wants_figure(F.col("content"), True))
+    keys = exam_merge.PASSAGE_KEYS
+    found = exam_merge.figure_passages(parts)
+    assert rows(found) == rows(want, *keys, "wants_figure")
+    assert {r["wants_figure"] for r in found.collect()} == {True, False}
+    assert rows(exam_merge.passage_ranges(parts)) == rows(stitched, *keys)
+
+
+def test_merging_shuffles_only_what_is_kept(spark):
+    data = [("e", 1, i, i, "x" * i, {"A": "a"}, "B", None, 2) for i in range(1, 4)]
+    merged = exam_merge.merge_questions(spark.createDataFrame(data, MERGE), ["page_number"])
+    assert merged.columns == ["exam_id", "question_number", "page_number"] and rows(merged) == [("e", 1, 3)]
+
+
 NODES = [
     (0, "S1", "Toán học", "Chương 1: Đạo hàm", "Bài 1: Cực trị của hàm số", "Dạng 1: Tìm cực trị hàm số"),
     (1, "S2", "Khoa học tự nhiên", "Hóa học: Ester", "Bài 2: Phản ứng xà phòng hóa ester", "Dạng 2: Thủy phân ester"),
