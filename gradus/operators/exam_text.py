@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.functions.text import strip
-from gradus.session import checkpointed, stacked
+from gradus.session import stored
 
 # Private-use glyphs of exam fonts and the LaTeX they stand for.
 GLYPHS = {
@@ -114,7 +114,8 @@ def repair_counts(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _without_marks(text: Column) -> Column:
-    return strip(F.regexp_replace(text, PAGE_MARK, ""))
+    bare = F.when(F.contains(text, F.lit("PAGE_")), F.regexp_replace(text, PAGE_MARK, "")).otherwise(text)
+    return strip(bare)
 
 
 def pieces(exams: DataFrame) -> DataFrame:
@@ -124,14 +125,27 @@ def pieces(exams: DataFrame) -> DataFrame:
     All is done within the text's row: it is split at the page marks, each part is cut with its page's
     number before each piece, and the parts are put together again, so that a piece may go on over marks.
     """
-    unix = F.regexp_replace(F.regexp_replace("text", r"\r\n|\r", "\n"), r"\n{2,}", "\n")
+    text = F.col("text")
+    ended = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n|\r", "\n")).otherwise(text)
+    single = F.when(F.contains("_ended", F.lit("\n\n")), F.regexp_replace("_ended", r"\n{2,}", "\n"))
+    # Matches that are looked for only where they can be, each in a column of its own.
+    unix = exams.where("text is not null").select("exam_id", ended.alias("_ended")).select(
+        "exam_id", F.coalesce(single, F.col("_ended")).alias("_unix")
+    )
+    paged = F.when(F.contains("_unix", F.lit("PAGE_")), F.col("_unix"))
+    none = F.array().cast("array<string>")
+    found = unix.select(
+        "exam_id",
+        F.coalesce(F.split(paged, PAGE_MARK), F.array("_unix")).alias("_parts"),
+        F.coalesce(F.regexp_extract_all(paged, F.lit(PAGE_MARK), F.lit(0)), none).alias("_found"),
+    )
     numbers = F.transform(
-        F.regexp_extract_all(unix, F.lit(PAGE_MARK), F.lit(1)), lambda n: F.coalesce(n.try_cast("int"), F.lit(1))
+        "_found", lambda m: F.coalesce(F.regexp_extract(m, PAGE_MARK, 1).try_cast("int"), F.lit(1))
     )
-    marked = exams.select(
+    marked = found.select(
         "exam_id",
-        F.split(unix, PAGE_MARK).alias("_parts"),
-        F.concat(F.array(F.lit("")), F.regexp_extract_all(unix, F.lit(PAGE_MARK), F.lit(0))).alias("_marks"),
+        "_parts",
+        F.concat(F.array(F.lit("")), "_found").alias("_marks"),
         F.concat(F.array(F.lit(1)), numbers).alias("_pages"),
     )
     parts = F.transform(
@@ -195,24 +209,52 @@ def split_options(rows: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def question_candidates(cut: DataFrame) -> DataFrame:
-    """Pieces that open with a question number; piece 0 does only in a text that starts so."""
-    explicit = F.regexp_extract("piece", _QUESTION, 1)
-    bare = F.regexp_extract("piece", _QUESTION, 2)
-    numbered = cut.withColumns({"_explicit": explicit, "_bare": bare})
+def _read(cut: DataFrame, only_needed: bool = False) -> DataFrame:
+    """Each piece with all that is read from it, in one pass over the pieces: what a question start
+    says (question_number, explicit, body, stem, option_a ... option_d) and what a passage announced
+    says (told, start_question, end_question, told_content).
+
+    Matches are columns of their own, and there is no filter on them: it would be pushed below them and
+    make each of them again. With ``only_needed`` the options of explicit questions are not read.
+    """
+    number = F.coalesce(F.nullif("_explicit", F.lit("")), F.col("_bare")).try_cast("int")
+    is_told = F.col("piece").rlike(_PASSAGE)
+
+    def group(n: int) -> Column:
+        return F.regexp_extract("_told", _PASSAGE, n)
+
+    matched = cut.withColumns(
+        {
+            "_asked": F.col("piece").rlike(_QUESTION),
+            "_explicit": F.regexp_extract("piece", _QUESTION, 1),
+            "_bare": F.regexp_extract("piece", _QUESTION, 2),
+            "_told": F.when(is_told, F.col("piece")),
+        }
+    )
+    parts = matched.withColumns(
+        {"question_number": number, "_s1": group(1), "_e1": group(2), "_s2": group(3), "_e2": group(4)}
+    )
+    known = F.col("question_number").between(1, MAX_QUESTION)
     body = F.regexp_replace(F.regexp_replace("piece", _QUESTION, ""), _BODY_END, "")
-    rows = numbered.select(
+    rows = parts.select(
         "exam_id",
         "pos",
         "page_number",
-        F.when(F.col("_explicit") != "", F.col("_explicit"))
-        .otherwise(F.col("_bare"))
-        .try_cast("int")
-        .alias("question_number"),
+        "_asked",
+        "question_number",
         (F.col("_explicit") != "").alias("explicit"),
-        _without_marks(body).alias("body"),
+        F.when(known, body).alias("_body"),
+        F.col("_told").isNotNull().alias("told"),
+        F.coalesce(F.nullif("_s1", F.lit("")), F.col("_s2")).try_cast("int").alias("start_question"),
+        F.coalesce(F.nullif("_e1", F.lit("")), F.col("_e2")).try_cast("int").alias("end_question"),
+        group(5).alias("_content"),
     )
-    return split_options(rows.where(F.col("question_number").between(1, MAX_QUESTION)))
+    rows = rows.withColumns({"body": _without_marks(F.col("_body")), "told_content": _without_marks(F.col("_content"))})
+    rows = rows.drop("_body", "_content")
+    if only_needed:
+        rows = rows.withColumn("_open", F.when(~F.col("explicit"), F.col("body")))
+        return split_options(rows, "_open").drop("_open", "stem", "option_c", "option_d")
+    return split_options(rows)
 
 
 def rejects(cut: DataFrame) -> DataFrame:
@@ -221,27 +263,34 @@ def rejects(cut: DataFrame) -> DataFrame:
     A question outside 1 to ``MAX_QUESTION``, and a passage that is announced backwards or for more
     than ``MAX_PASSAGE_SPAN`` numbers after its first. Numbers too long to read are null.
     """
-    number = F.regexp_extract("piece", _QUESTION, 1)
-    number = F.when(number != "", number).otherwise(F.regexp_extract("piece", _QUESTION, 2))
-    asked = cut.where(F.col("piece").rlike(_QUESTION)).select(
-        "exam_id", "pos", F.lit("QUESTION").alias("kind"), number.try_cast("int").alias("first"),
-        F.lit(None).cast("int").alias("last"), F.lit("NUMBER_OUT_OF_RANGE").alias("reason"),
-    )
-    told = _announced(cut).select(
-        "exam_id", "pos", F.lit("PASSAGE").alias("kind"), F.col("start_question").alias("first"),
-        F.col("end_question").alias("last"),
-        F.when(F.col("end_question") < F.col("start_question"), "BACKWARDS").otherwise("SPAN_TOO_LONG").alias("reason"),
+    start, end, number = F.col("start_question"), F.col("end_question"), F.col("question_number")
+    none, text = F.lit(None).cast("int"), ("kind", "first", "last", "reason")
+
+    def row(*values: Column) -> Column:
+        return F.struct(*[v.alias(n) for v, n in zip(values, text)])
+
+    known = F.coalesce(number.between(1, MAX_QUESTION), F.lit(False))
+    span = F.coalesce((end - start).between(0, MAX_PASSAGE_SPAN), F.lit(False))
+    asked = F.when(
+        F.col("_asked") & ~known, row(F.lit("QUESTION"), number, none, F.lit("NUMBER_OUT_OF_RANGE"))
     )
-    known = F.coalesce(F.col("first").between(1, MAX_QUESTION), F.lit(False))
-    span = F.coalesce((F.col("last") - F.col("first")).between(0, MAX_PASSAGE_SPAN), F.lit(False))
-    return stacked(asked.where(~known), told.where(~span))
+    why = F.when(end < start, "BACKWARDS").otherwise("SPAN_TOO_LONG")
+    told = F.when(F.col("told") & ~span, row(F.lit("PASSAGE"), start, end, why))
+    both = _read(cut).select("exam_id", "pos", F.explode(F.array(asked, told)).alias("_r"))
+    return both.where("_r is not null").select("exam_id", "pos", "_r.*")
 
 
 def questions(cut: DataFrame) -> DataFrame:
     """First occurrence of each number. Bare numbers need options A and B, else they do not count;
     an empty body does count, and the number stays without a question.
     """
-    rows = question_candidates(cut)
+    return _first_questions(_read(cut)).select(
+        "exam_id", "question_number", "page_number", F.col("stem").alias("content"),
+        *[f"option_{x.lower()}" for x in LETTERS],
+    )
+
+
+def _first_questions(read: DataFrame) -> DataFrame:
     counts = (F.col("body") == "") | F.col("explicit") | (
         (F.col("option_a") != "") & (F.col("option_b") != "")
     )
@@ -249,29 +298,9 @@ def questions(cut: DataFrame) -> DataFrame:
     # make each of them twice.
     same = Window.partitionBy("exam_id", "question_number")
     return (
-        rows.withColumn("_at", F.when(counts, F.col("pos")))
+        read.withColumn("_at", F.when(F.col("body").isNotNull() & counts, F.col("pos")))
         .withColumn("_first", F.min("_at").over(same))
         .where("pos = _first and body <> ''")
-        .select(
-            "exam_id", "question_number", "page_number", F.col("stem").alias("content"),
-            *[f"option_{x.lower()}" for x in LETTERS],
-        )
-    )
-
-
-def _announced(cut: DataFrame) -> DataFrame:
-    """(exam_id, pos, start_question, end_question, content) of every passage, whatever its range."""
-
-    def group(a: int, b: int) -> Column:
-        one, other = F.regexp_extract("piece", _PASSAGE, a), F.regexp_extract("piece", _PASSAGE, b)
-        return F.when(one != "", one).otherwise(other).try_cast("int")
-
-    return cut.where(F.col("piece").rlike(_PASSAGE)).select(
-        "exam_id",
-        "pos",
-        group(1, 3).alias("start_question"),
-        group(2, 4).alias("end_question"),
-        _without_marks(F.regexp_extract("piece", _PASSAGE, 5)).alias("content"),
     )
 
 
@@ -279,17 +308,31 @@ def passages(cut: DataFrame) -> DataFrame:
     """Passages announced for a range of questions: (exam_id, pos, start_question, end_question,
     content). The text runs to the next question.
     """
+    return _told_passages(_read(cut))
+
+
+def _told_passages(read: DataFrame) -> DataFrame:
     span = F.col("end_question") - F.col("start_question")
-    return _announced(cut).where(span.between(0, MAX_PASSAGE_SPAN))
+    return read.where(F.col("told") & span.between(0, MAX_PASSAGE_SPAN)).select(
+        "exam_id", "pos", "start_question", "end_question", F.col("told_content").alias("content")
+    )
 
 
-def parse(exams: DataFrame) -> dict[str, DataFrame]:
+def parse(exams: DataFrame, texts: bool = True) -> dict[str, DataFrame]:
     """questions (with passage_start and passage_end, null for single ones), passages, totals.
 
-    A passage names at most 26 numbers, so it is exploded into them and met by an equi-join.
+    The pieces are read once and stored with what was found in them. A passage names at most 26
+    numbers, so it is exploded into them and met by an equi-join. Without ``texts`` the questions come
+    without content and options, of which totals and passages need nothing.
     """
-    cut = pieces(exams)
-    asked, told = checkpointed(questions(cut)), checkpointed(passages(cut))
+    content = [F.col("stem").alias("content"), *[F.col(f"option_{x.lower()}") for x in LETTERS]]
+    read = _read(pieces(exams), only_needed=not texts).drop("_asked")
+    # Of the body it matters only whether it is empty.
+    read = stored(read.withColumn("body", F.when(F.col("body") == "", "").when(F.col("body") != "", "+")))
+    asked = _first_questions(read).select(
+        "exam_id", "question_number", "page_number", *(content if texts else [])
+    )
+    told = _told_passages(read)
     numbers = told.withColumn(
         "question_number", F.explode(F.sequence("start_question", "end_question"))
     )

@@ -169,6 +169,23 @@ def test_merging_shuffles_only_what_is_kept(spark):
     assert merged.columns == ["exam_id", "question_number", "page_number"] and rows(merged) == [("e", 1, 3)]
 
 
+def test_pieces_are_read_once(spark):
+    text = "Đề\r\n\r\n--- PAGE_2 ---\nCâu 1: x A. a B. b\nDựa vào thông tin sau, trả lời câu hỏi từ 2 đến 3:\nĐoạn\n2. y\nA. a\nB. b\n3. z\nCâu 600: w"
+    exam = spark.createDataFrame([("e", text, 3), ("none", None, 3)], "exam_id string, text string, total_pages int")
+    whole, lean = exam_text.parse(exam), exam_text.parse(exam, texts=False)
+    assert rows(whole["questions"], "question_number", "page_number", "content", "passage_start") == [
+        (1, 2, "x", None), (2, 2, "y", 2)
+    ]
+    for name in ("totals", "passages"):
+        assert rows(whole[name]) == rows(lean[name]) and whole[name].columns == lean[name].columns
+    assert rows(lean["passages"], "start_question", "content", "questions") == [(2, "Đoạn", 1)]
+    cut = exam_text.pieces(exam)
+    assert rows(cut.where("exam_id = 'none'")) == []
+    assert rows(exam_text.rejects(cut), "pos", "first") == [(4, 600)]
+    plan = exam_text.rejects(cut)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
+
+
 NODES = [
     (0, "S1", "Toán học", "Chương 1: Đạo hàm", "Bài 1: Cực trị của hàm số", "Dạng 1: Tìm cực trị hàm số"),
     (1, "S2", "Khoa học tự nhiên", "Hóa học: Ester", "Bài 2: Phản ứng xà phòng hóa ester", "Dạng 2: Thủy phân ester"),
