@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gradus.functions.text import contains_any, strip
 from gradus.operators.ordered import bucket_of, dense_index
+from gradus.operators.substrings import small
+from gradus.session import checkpointed
 
 # Size limits, domains by words of a prompt (first match counts), names.
 MIN_QUESTIONS = 5
@@ -38,6 +40,8 @@ DOMAIN_NAMES = {
     "dom_nat_sci": "Khoa học Tự nhiên (Lý - Hóa - Sinh)",
     "dom_soc_sci": "Khoa học Xã hội (Sử - Địa)",
 }
+#: Places of pools that may be broadcast to the requests; beyond it they are joined.
+BROADCAST_PLACES = 500_000
 OPTION_FILLER = "Phương án "
 DEFAULT_DOMAIN, DEFAULT_SKILL, DEFAULT_SKILL_NAME = "dom_math", "sk_general", "Kỹ năng chuyên môn"
 DEFAULT_BLOOM = 2
@@ -54,23 +58,28 @@ def requested_domain(domain: Column, prompt: Column) -> Column:
     return F.when(asked == ALL, F.coalesce(spoken, F.lit(ALL))).otherwise(asked)
 
 
-def assemble(requests: DataFrame, bank: DataFrame, most: int | None = None) -> DataFrame:
-    """Rows (request_id, position from 1, item_id).
+def assemble(
+    requests: DataFrame, bank: DataFrame, most: int | None = None, columns: tuple[str, ...] = ()
+) -> DataFrame:
+    """Rows (request_id, position from 1, item_id), with ``columns`` of the bank.
 
     ``requests``: request_id, domain_id, bloom_level, question_count, prompt. ``bank``: item_id
     (order of the bank), domain_id, bloom. A pool is what is left after domain and Bloom level, each
     ignored if it would leave nothing; position i takes the pool's item i modulo its size. ``item_id``
-    is an integer. Requests may be limited to ``most`` questions; pools are whole.
+    is an integer. Requests may be limited to ``most`` questions; pools are whole. Items behind the
+    last place that any request reaches are never drawn, so only the others meet the requests.
     """
+    carried = [F.col(c).alias(f"_c_{c}") for c in columns]
     member = bank.select(
         "item_id",
+        *carried,
         F.explode(F.array(F.col("domain_id"), F.lit(ALL))).alias("_domain"),
         F.col("bloom"),
     ).withColumn("_bloom", F.explode(F.array(F.col("bloom"), F.lit(0))))
     pool = ["_domain", "_bloom"]
     sizes = member.groupBy(*pool).agg(F.count(F.lit(1)).alias("_size"))
     places = dense_index(member, pool, [F.col("item_id")], bucket_of(F.col("item_id")), "_index")
-    places = places.select(*pool, "_index", "item_id")
+    places = places.select(*pool, "_index", "item_id", *[f"_c_{c}" for c in columns])
     level = F.when(F.col("bloom_level").between(1, 6), F.col("bloom_level")).otherwise(0)
     count = F.greatest(F.lit(MIN_QUESTIONS), F.col("question_count"))
     if most is not None:
@@ -81,6 +90,8 @@ def assemble(requests: DataFrame, bank: DataFrame, most: int | None = None) -> D
         level.alias("_level"),
         count.alias("_count"),
     )
+    reach = rows.agg(F.max("_count")).first()[0] or 0
+    places = small(checkpointed(places.where(F.col("_index") < reach)), BROADCAST_PLACES)
     whole = sizes.where("_bloom = 0").select(F.col("_domain").alias("_asked"), F.lit(True).alias("_has"))
     rows = rows.join(whole, "_asked", "left").withColumn(
         "_domain", F.when(F.col("_has"), F.col("_asked")).otherwise(ALL)
@@ -97,7 +108,8 @@ def assemble(requests: DataFrame, bank: DataFrame, most: int | None = None) -> D
         .withColumn("_index", F.pmod(F.col("_i"), F.col("_size")))
     )
     return drawn.join(places, [*pool, "_index"]).select(
-        "request_id", (F.col("_i") + 1).alias("position"), "item_id"
+        "request_id", (F.col("_i") + 1).alias("position"), "item_id",
+        *[F.col(f"_c_{c}").alias(c) for c in columns],
     )
 
 

@@ -266,3 +266,18 @@ B. y"""
     # An electrochemical series opens a passage, and does not end a question's body.
     assert "dãy điện hóa" in q[1]["option_b"] and q[1]["option_c"] == "c"
     assert sorted(q) == [1, 2, 3, 4] and q[3]["content"].startswith("Ba") and "PAGE" not in q[3]["content"]
+
+
+def test_exams_meet_only_places_that_are_reached(spark):
+    bank = spark.range(2000).select(
+        F.col("id").alias("item_id"), F.lit("dom_math").alias("domain_id"),
+        (F.col("id") % 6 + 1).cast("int").alias("bloom"), F.concat(F.lit("k"), "id").alias("correct"),
+    )
+    requests = spark.range(30).select(
+        F.col("id").alias("request_id"), F.lit("ALL").alias("domain_id"), (F.col("id") % 8).cast("int").alias("bloom_level"),
+        (F.col("id") + 1).cast("int").alias("question_count"), F.lit("").alias("prompt"),
+    )
+    found = item_bank.assemble(requests, bank, columns=("correct", "bloom"))
+    plain = item_bank.assemble(requests, bank).join(bank.drop("domain_id"), "item_id")
+    assert rows(found) == rows(plain, *found.columns) and found.count() == sum(max(5, i + 1) for i in range(30))
+    assert max(r["item_id"] for r in found.collect()) < 30 * 6
