@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus.llm.words import unused
@@ -10,6 +10,28 @@ from gradus.session import checkpointed
 
 #: Ids that may be broadcast to pick rows by; beyond it both sides are shuffled.
 PICK_LIMIT = 500_000
+#: Links that one task may take in a round of ``components``; more are dealt over all partitions.
+ROUND_LINKS = 100_000
+
+
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct (u, v) stored, and their number with 128 bits of their set: equal sets, equal digests."""
+    edges = checkpointed(edges)
+    state = edges.agg(
+        F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))
+    ).first()
+    return _together(edges, state), tuple(state)
+
+
+def _together(edges: DataFrame, state: tuple) -> DataFrame:
+    return edges.coalesce(1) if state[0] <= ROUND_LINKS else edges
+
+
+def _with_least(edges: DataFrame, state: tuple) -> DataFrame:
+    """(u, v, m): m is the least v of each u. A window looks at one partition where it is; joins split hot nodes."""
+    if state[0] <= ROUND_LINKS:
+        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,35 +40,33 @@ def components(links: DataFrame) -> DataFrame:
     Each round links every node to the least node it knows (its larger neighbours first, then its
     smaller ones) until nothing changes: the rounds grow with the logarithm of the longest path.
     Neighbours are reduced by partial aggregates and joined back, so a node with a third of all
-    links is split like any skewed join key.
+    links is split like any skewed join key. Up to ``ROUND_LINKS`` links are one partition, so that a
+    round over few links is one task and not all partitions of eight shuffles.
     """
-    edges = checkpointed(
+    edges, state = _counted(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u > v")
         .distinct()
     )
     while True:
         # Large star: larger neighbours of a node go to the least of the node and its neighbours.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        both = _together(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), state)
         large = (
-            both.where("v > u")
-            .join(least, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _with_least(both, state)
+            .where("v > u")
+            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
             .where("u <> v")
             .distinct()
         )
         # Small star: a node and its smaller neighbours go to the least of these.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = checkpointed(
-            large.join(least, "u")
+        before = state
+        edges, state = _counted(
+            _with_least(large, state)
             .select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .distinct()
         )
-        moved = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not moved:
+        if state == before:
             break
     named = edges.groupBy("u").agg(F.min("v").alias("component"))
     roots = named.select(F.col("component").alias("u"), "component").distinct()

@@ -79,6 +79,30 @@ def test_components_of_a_path(spark):
     assert links.components(df.limit(0)).count() == 0
 
 
+def test_components_of_few_links_take_few_tasks(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (100, 300)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    want = {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 100}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        tracker, taken = spark.sparkContext.statusTracker(), {}
+        for limit in (links.ROUND_LINKS, 0):
+            monkeypatch.setattr(links, "ROUND_LINKS", limit)
+            spark.sparkContext.setJobGroup(f"components {limit}", "")
+            assert {r.node: r.component for r in links.components(df).collect()} == want
+            jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"components {limit}")]
+            stages = {k for job in jobs for k in job.stageIds}
+            taken[limit] = sum(tracker.getStageInfo(k).numTasks for k in stages if tracker.getStageInfo(k))
+        # Before, each round dealt its few links over all partitions of several shuffles.
+        assert taken[100_000] < 400 < taken[0]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def line_rows(rows):
     first, earlier, removed = {}, [], {}
     for key, number, words in rows:
