@@ -765,6 +765,32 @@ def running_grades(steps: DataFrame, bucket_pages: int = PAGES_PER_BUCKET) -> Da
     return walked.select("source_id", F.inline("_out"))
 
 
+def _told_subjects(pages: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(told, texts): what is read from each page with the subject in force on it, and its clean text."""
+    at = ["source_id", "page_number"]
+    read = read_structure(pages)
+    own = (
+        read.drop(*[c for c in pages.columns if c not in at], "clean_text")
+        .join(sources.select("source_id", "subject_code", "grade", "book_edition"), "source_id")
+        .withColumnsRenamed({"subject_code": "_subject", "grade": "start_grade"})
+    )
+    told = carry_last(
+        own, ["source_id"], ["page_number"], bucket_of(F.col("page_number")), {"_told_subject": F.col("tag_subject")}
+    ).select("*", F.coalesce("_told_subject", "_subject").alias("subject_code"))
+    return told, read.select(*at, "clean_text")
+
+
+def page_diagrams(pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_id, page_number, id, diagram_type, description) of the diagrams of ``classify_pages``, which
+    need the subject in force alone: no page is matched with the taxonomy."""
+    told, texts = _told_subjects(pages, sources)
+    at = ["source_id", "page_number"]
+    drawn = placeholders(told.select(*at, "subject_code").join(texts, at))
+    return drawn.select("source_id", F.explode("placeholders").alias("p")).select(
+        "source_id", "p.page_number", "p.id", "p.diagram_type", "p.description"
+    )
+
+
 def classify_pages(pages: DataFrame, sources: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each page with the subject, grade, chapter, lesson and pattern in force on it, its section
     type, its diagrams and its final text.
@@ -775,21 +801,9 @@ def classify_pages(pages: DataFrame, sources: DataFrame, nodes: DataFrame) -> Da
     joined in where a page is matched, and at the end.
     """
     at = ["source_id", "page_number"]
-    read = read_structure(pages)
-    texts = read.select(*at, "clean_text")
-    own = (
-        read.drop(*[c for c in pages.columns if c not in at], "clean_text")
-        .join(sources.select("source_id", "subject_code", "grade", "book_edition"), "source_id")
-        .withColumnsRenamed({"subject_code": "_subject", "grade": "start_grade"})
-    )
     bucket = bucket_of(F.col("page_number"))
-    told = carry_last(
-        own, ["source_id"], ["page_number"], bucket, {"_told_subject": F.col("tag_subject")}
-    ).select(
-        "*",
-        F.coalesce("_told_subject", "_subject").alias("subject_code"),
-        F.concat_ws("#", *at).alias("_page"),
-    )
+    told, texts = _told_subjects(pages, sources)
+    told = told.withColumn("_page", F.concat_ws("#", *at))
 
     found = match_nodes(texts.join(told.select(*at, "_page", "subject_code"), at), nodes)
     node_grades = nodes.select("ord", F.col("grade").alias("_node_grade"))

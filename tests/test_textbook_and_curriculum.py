@@ -86,6 +86,24 @@ def test_captions_become_placeholders(spark):
     assert got["text"].endswith("kết")
 
 
+def test_diagrams_alone_need_no_taxonomy(spark):
+    pages = spark.createDataFrame(
+        [("s", 1, '[TAXONOMY: subject="Toán"]'), ("s", 2, "Hình 2.1: Sơ đồ mạch"), ("t", 1, "chữ"), ("t", 2, "Hình 3: Cây bút chì")],
+        "source_id string, page_number int, text string",
+    )
+    sources = spark.createDataFrame(
+        [("s", "PHYS", 9, "b"), ("t", "MATH", 9, "b")], "source_id string, subject_code string, grade int, book_edition string"
+    )
+    nodes = spark.createDataFrame(
+        [(0, "MATH", 10, "Chương 1: Véc tơ", "Bài 1: Lực", "Dạng 1: Tổng")],
+        "ord long, subject_code string, grade int, chapter_name string, lesson_name string, pattern_name string",
+    )
+    found = textbook.page_diagrams(pages, sources)
+    want = textbook.classify_pages(pages, sources, nodes).select("source_id", F.inline("placeholders"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select(*found.columns).collect())) != []
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+
+
 def chunk(page, section="THEORY", chapter="Chương A", lesson="Bài A", pattern="Dạng 4: P", text="t"):
     return ("s", page, page, text, len(text), "CHEM", "Hóa học", 12, "Cánh diều", chapter, lesson, pattern, section, 0)
 
