@@ -249,6 +249,20 @@ def skills_in_many_domains(responses: DataFrame) -> DataFrame:
     )
 
 
+def domain_accuracy(responses: DataFrame, domain_names: DataFrame) -> DataFrame:
+    """The part of ``domain_scores`` that takes no ability: share of right answers per domain."""
+    right = F.count(F.when(F.col("is_correct"), 1))
+    counts = responses.groupBy(*SUBMISSION, "domain_id").agg(
+        F.count(F.lit(1)).alias("total_questions"), right.alias("correct_count")
+    )
+    return counts.join(domain_names, "domain_id", "left").select(
+        *SUBMISSION,
+        "domain_id",
+        F.coalesce("domain_name", F.col("domain_id").cast("string")).alias("domain_name"),
+        _percent(F.col("correct_count"), F.col("total_questions")).alias("accuracy_pct"),
+    )
+
+
 def radar_axes(
     domains: DataFrame, targets: DataFrame, default_target: int = DEFAULT_TARGET
 ) -> DataFrame:

@@ -236,7 +236,8 @@ FROM responses LEFT JOIN domain_names USING (domain_id) LEFT JOIN targets USING
 GROUP BY student_id, submission_id, domain_id""",
 )
 def radar_axes(spark: SparkSession, d: str) -> DataFrame:
-    return _report(spark, d)["radar"]
+    domains = ops.domain_accuracy(views.responses(spark, d), views.domain_names(spark, d))
+    return ops.radar_axes(domains, views.targets(spark, d))
 
 
 @query(

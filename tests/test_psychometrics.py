@@ -113,6 +113,21 @@ def test_single_item_skill_is_shifted(spark):
     assert got["a"] == pytest.approx(theta + 0.3) and got["b"] == pytest.approx(theta - 0.3)
 
 
+def test_radar_needs_no_ability(spark):
+    from gradus.plans.psychometrics import radar_axes
+
+    items = [(f"k{i % 6}", f"d{i % 3}", i % 6 + 1, [True, False, None][i % 4 % 3], 40) for i in range(31)]
+    names = spark.createDataFrame([("d0", "N0"), ("d1", "N1")], "domain_id string, domain_name string")
+    targets = spark.createDataFrame([("x", 900)], "student_id string, target_score int")
+    skills = spark.createDataFrame([("k0", "d0")], "skill_id string, domain_id string")
+    taken = answers(spark, items)
+    alone = ops.radar_axes(ops.domain_accuracy(taken, names), targets)
+    assert rows(alone) == rows(ops.diagnose(taken, names, skills, targets)["radar"]) != []
+    # The query reads answers itself: no stored ability before it, no Python in it.
+    plan = radar_axes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "lineitem" in plan and "Arrow" not in plan and "Python" not in plan
+
+
 def test_report_end_to_end(spark):
     items = [(f"k{i % 6}", f"d{i % 3}", i % 6 + 1, i % 2 == 0, 40) for i in range(30)]
     names = spark.createDataFrame([(f"d{i}", f"N{i}") for i in range(3)], "domain_id string, domain_name string")
