@@ -166,7 +166,7 @@ def measured_priors(
             *SUBMISSION,
             "skill_id",
             "domain_id",
-            F.round("_theta", 4).alias("theta_skill"),
+            irt.four_digits(F.col("_theta")).alias("theta_skill"),
             F.round(irt.mastery(F.col("_theta")), 4).alias("p_l0"),
             F.lit("measured").alias("source"),
         )
@@ -191,7 +191,7 @@ def inferred_priors(skill_counts: DataFrame, domains: DataFrame, skills: DataFra
         *SUBMISSION,
         F.col("_skill.skill_id").alias("skill_id"),
         F.col("_skill.domain_id").alias("domain_id"),
-        F.round(theta, 4).alias("theta_skill"),
+        irt.four_digits(theta).alias("theta_skill"),
         F.round(irt.mastery(theta), 4).alias("p_l0"),
         F.lit("inferred_from_domain").alias("source"),
     )
@@ -234,7 +234,7 @@ def requested_priors(
         .select(
             *key,
             F.coalesce("_own.domain_id", "_domain").alias("domain_id"),
-            F.coalesce("_own.theta_skill", F.round(theta, 4)).alias("theta_skill"),
+            F.coalesce("_own.theta_skill", irt.four_digits(theta)).alias("theta_skill"),
             F.coalesce("_own.p_l0", F.round(irt.mastery(theta), 4)).alias("p_l0"),
             F.when(F.col("_own").isNotNull(), "measured").otherwise("inferred_from_domain").alias("source"),
         )
@@ -320,7 +320,9 @@ def remarks(abilities: DataFrame, domains: DataFrame) -> DataFrame:
     label = F.col("placement_class")
     for code, text in PLACEMENT_LABELS.items():
         label = F.when(F.col("placement_class") == code, text).otherwise(label)
-    theta = F.format_string("%.2f", "theta")
+    # A zero ability has no sign in words.
+    unsigned = F.when(F.col("theta") == 0, F.lit(0.0)).otherwise(F.col("theta"))
+    theta = F.format_string("%.2f", unsigned)
     opening = F.format_string(REMARK_OPENING, theta, label)
     best, worst = F.col("_best"), F.col("_worst")
     both = F.format_string(

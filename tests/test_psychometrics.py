@@ -196,3 +196,30 @@ def test_keys_below_the_least_answers_do_not_go_through_python(spark):
     assert got["b"] == 0.0 and got["a"] == theta_of(spark, items[:2])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan.split("ArrowEvalPython")[1]
+
+
+def test_report_keeps_the_sign_of_a_zero_ability_and_remarks_drop_it(spark):
+    # (part, right, seconds) of a sitting on the supplied tables: its ability is just below zero.
+    taken = [
+        (8401, 1, 2), (15249, 1, 36), (18402, 1, 28), (14578, 1, 38), (17347, 0, 46), (10641, 1, 13),
+        (3128, 1, 36), (18812, 1, 38), (1450, 0, 11), (7150, 0, 10), (12034, 1, 34), (8677, 1, 22),
+        (6802, 0, 43), (16402, 0, 40), (1719, 1, 35), (3454, 0, 44), (11574, 1, 36), (7683, 1, 39),
+    ]
+    items = [(f"k{p % 25:02}", f"d{p % 5}", p % 7 + 1, bool(right), t) for p, right, t in taken]
+    names = spark.createDataFrame([], "domain_id string, domain_name string")
+    skills = spark.createDataFrame([("k10", "d0"), ("k29", "d4")], "skill_id string, domain_id string")
+    targets = spark.createDataFrame([("s", 900)], "student_id string, target_score int")
+    tables = ops.diagnose(answers(spark, items), names, skills, targets)
+    report = ops.report_rows(tables).first()
+    assert f"{report['theta_0']:.4f}" == "-0.0000"
+    domains = [f"{d['domain_id']}={d['theta_domain']:.4f}" for d in report["domain_scores"]]
+    assert domains == ["d1=-0.0000", "d4=1.0693", "d2=-1.2717", "d3=2.1455", "d0=-0.0000"]
+    untested = {p["skill_id"]: p["theta_skill"] for p in report["skill_priors"]}["k10"]
+    assert f"{untested:.4f}" == "-0.0000"
+    assert "θ = 0.00." in report["remark"]
+
+
+def test_four_digits_keep_the_sign_of_zero(spark):
+    data = [(-0.00001,), (-0.0,), (0.0,), (0.00001,), (-0.00006,), (1.23456,), (None,)]
+    got = spark.createDataFrame(data, "t double").select(irt.four_digits(F.col("t"))).collect()
+    assert [str(r[0]) for r in got] == ["-0.0", "-0.0", "0.0", "0.0", "-0.0001", "1.2346", "None"]
